@@ -50,7 +50,7 @@ def _masked(raw: Column, joined: bool) -> Column:
     """The field with its quoted values replaced, so that marks inside them don't count."""
     ends = f"[{_ALL}]|$" + (rf"|\s{JOINERS}\s" if joined else "")
     starts = f"^|[{_ALL}]" + (rf"|(?<=\s){JOINERS}\s" if joined else "")
-    return F.when(raw.contains('"'), F.regexp_replace(raw, f"({starts}){_WS}{_QUOTED}{_WS}(?={ends})", "$1")).otherwise(raw)
+    return F.when(raw.contains('"'), F.regexp_replace(raw, f"({starts}){_WS}{_QUOTED}{_WS}(?={ends})", "$1\ue000")).otherwise(raw)
 
 
 def _pieces(raw: Column, marks: str) -> Column:
@@ -70,7 +70,7 @@ def _split_last(pieces: Column) -> Column:
     last = F.element_at(kept, -1)
     parts = F.when(
         last.rlike(rf"(?:^|\s){JOINERS}\s"),
-        F.split(F.regexp_replace(last, rf'^\s*{JOINERS}\s+|\s+{JOINERS}\s+(?=(?:[^"]*"[^"]*")*[^"]*$)', ""), ""),
+        F.split(F.regexp_replace(last, rf'^\s*{JOINERS}\s+|\s+{JOINERS}\s+(?=(?:[^"]*"[^"]*")*[^"]*$)', "\ue001"), "\ue001"),
     ).otherwise(F.array(last))
     return F.when(F.size(kept) > 0, F.concat(F.slice(kept, 1, F.size(kept) - 1), parts)).otherwise(kept)
 
