@@ -215,12 +215,12 @@ def _uncertain_paths(fields: DataFrame) -> DataFrame:
     return materialise(lattice(freq).select("id", "field", _best_path("spans").alias("path")))
 
 
-def packed_items(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
-    """``(id, field, pos, item, n_items)``: one row per value of every field, ``pos`` from 1."""
+def packed_arrays(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
+    """``(id, field, items)``: the values of every non-empty field in order."""
     parsed = read_fields(df, id_col, fields, joined)
     paths = _uncertain_paths(parsed)
     mark = F.element_at(F.array(*[F.lit({"|｜": "|", ",，": ", ", "/／": "/", "、､": "、"}.get(m, m)) for m in MARKS]), F.col("kind") + 1)
-    chosen = (
+    return (
         parsed.join(paths, ["id", "field"], "left")
         .select(
             "id",
@@ -232,6 +232,11 @@ def packed_items(df: DataFrame, id_col: str, fields: dict[str, Column], joined:
         )
         .select("id", "field", F.filter(F.transform("pieces", _unquote), lambda v: v != "").alias("items"))
     )
-    return chosen.select("id", "field", F.size("items").alias("n_items"), F.posexplode("items").alias("p", "item")).select(
+
+
+def packed_items(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
+    """``(id, field, pos, item, n_items)``: one row per value of every field, ``pos`` from 1."""
+    rows = packed_arrays(df, id_col, fields, joined)
+    return rows.select("id", "field", F.size("items").alias("n_items"), F.posexplode("items").alias("p", "item")).select(
         "id", "field", (F.col("p") + 1).cast("int").alias("pos"), "item", "n_items"
     )
