@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm.catalog import p1, p3, p4, p6
+from corpusloom.llm.catalog import p1, p2, p3, p4, p6
 
-_PARTS = (p1, p3, p4, p6)
+_PARTS = (p1, p2, p3, p4, p6)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
