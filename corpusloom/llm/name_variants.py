@@ -37,6 +37,8 @@ MIN_PARTNERS = 8
 #: A short form stands beside its full form in at least this share of its surnames, and so often above chance.
 ALIAS_SHARE, ALIAS_LIFT, ALIAS_SUPPORT = 0.5, 2.5, 3
 _MIN_TYPO = 5
+#: Similarity of two names of three or more ideographs that differ in one.
+HAN_TYPO = 0.85
 
 # Words of organisation names in their short and full forms.
 ORG_WORDS = {
@@ -68,8 +70,8 @@ HAN_KINDS = {
 # Traditional characters of institution words.
 _TRADITIONAL = str.maketrans("學國業師範農職術電與動廣視綜開機語計馬義職備導經財醫東華", "学国业师范农职术电与动广视综开机语计马义职备导经财医东华")
 _HAN = re.compile(r"[㐀-鿿]")
-_SUFFIX = re.compile("^(.+?)(" + "|".join(sorted((s for v in HAN_KINDS.values() for s in v), key=len, reverse=True)) + ")(.*)$")
-_KIND_OF = {s: k for k, v in HAN_KINDS.items() for s in v}
+_SUFFIX = re.compile("^(.+?)(" + "|".join(sorted((s for v in HAN_KINDS.values() for s in v), key=len, reverse=True)) + "|大(?=.+[学系部院所]$))(.*)$")
+_KIND_OF = {s: k for k, v in HAN_KINDS.items() for s in v} | {"大": "大学"}
 _WORD_OF = {s: k for k, v in ORG_WORDS.items() for s in v}
 _FULL_WORDS = sorted(ORG_WORDS)
 
@@ -252,7 +254,7 @@ def _links(keys: DataFrame, similar: DataFrame, aliases: DataFrame, degrees: Dat
     total = F.broadcast(keys.groupBy("kind").agg(F.count("*").alias("total")))  # a row per kind
     rated = keys.join(core_df, ["kind", "core"]).join(rest_df, ["kind", "rest"]).join(total, "kind")
     rated = materialise(rated)
-    cores = similar.select("kind", F.col("a").alias("core"), F.col("b").alias("to_core"), (1 - 1 / F.length("a")).alias("core_match"))
+    cores = similar.select("kind", F.col("a").alias("core"), F.col("b").alias("to_core"), F.when(F.col("a").rlike("[㐀-鿿]"), HAN_TYPO).otherwise(1 - 1 / F.length("a")).alias("core_match"))
     own_core = rated.select(*id_cols, "n", "core_df", "rest_df", "total", F.col("core").alias("to_core"), F.lit(1.0).alias("core_match"))
     near_core = rated.join(cores, ["kind", "core"]).select(*id_cols, "n", "core_df", "rest_df", "total", "to_core", "core_match")
     both = own_core.unionByName(near_core)
