@@ -217,7 +217,8 @@ def _uncertain_paths(fields: DataFrame) -> DataFrame:
 
 def packed_arrays(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
     """``(id, field, items)``: the values of every non-empty field in order."""
-    parsed = read_fields(df, id_col, fields, joined)
+    # read once: the lattices and the result go over the pieces several times
+    parsed = materialise(read_fields(df, id_col, fields, joined))
     paths = _uncertain_paths(parsed)
     mark = F.element_at(F.array(*[F.lit({"|｜": "|", ",，": ", ", "/／": "/", "、､": "、"}.get(m, m)) for m in MARKS]), F.col("kind") + 1)
     return (
