@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.session import materialise
 
@@ -133,12 +134,12 @@ def _best_and_posterior(spans: list, mode: str) -> list:
     return [{"item": s["item"], "p": float(np.exp(fwd[s["start"]] + s["weight"] + bwd[s["start"] + s["len"]] - fwd[n]))} for s in spans]
 
 
-@F.pandas_udf("array<struct<item:string,p:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("item", "string").add("p", "double")))
 def _posteriors(lattices: pd.Series) -> pd.Series:
     return lattices.map(lambda spans: _best_and_posterior(list(spans), "em"))
 
 
-@F.pandas_udf("array<struct<start:int,len:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", "integer").add("len", "integer")))
 def _best_path(lattices: pd.Series) -> pd.Series:
     return lattices.map(lambda spans: _best_and_posterior(list(spans), "best"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.queries import packed
+from corpusloom.queries import documents, packed
 
-QUERIES = {**packed.QUERIES}
-ORACLE = {**packed.ORACLE}
+QUERIES = {**packed.QUERIES, **documents.QUERIES}
+ORACLE = {**packed.ORACLE, **documents.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
