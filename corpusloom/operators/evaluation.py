@@ -17,7 +17,7 @@ def set_comparison(gold: DataFrame, candidate: DataFrame, sample: str, keys: lis
     """``(sample, tp, fp, fn)`` of distinct facts; one grouped pass instead of a full join."""
     tagged = gold.select(sample, *keys).withColumn("g", F.lit(1)).withColumn("c", F.lit(0)).unionByName(candidate.select(sample, *keys).withColumn("g", F.lit(0)).withColumn("c", F.lit(1)))
     facts = tagged.groupBy(sample, *keys).agg(F.max("g").alias("g"), F.max("c").alias("c"))
-    return facts.groupBy(sample).agg(F.count_if("g = 1 AND c = 1").alias("tp"), F.count_if("g = 0 AND c = 1").alias("fp"), F.count_if("g = 1 AND c = 0").alias("fn"))
+    return facts.groupBy(sample).agg(F.count_if(F.expr("g = 1 AND c = 1")).alias("tp"), F.count_if(F.expr("g = 0 AND c = 1")).alias("fp"), F.count_if(F.expr("g = 1 AND c = 0")).alias("fn"))
 
 
 def micro_average(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

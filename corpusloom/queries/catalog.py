@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.queries import documents, packed
+from corpusloom.queries import documents, graphs, packed
 
-QUERIES = {**packed.QUERIES, **documents.QUERIES}
-ORACLE = {**packed.ORACLE, **documents.ORACLE}
+QUERIES = {**packed.QUERIES, **documents.QUERIES, **graphs.QUERIES}
+ORACLE = {**packed.ORACLE, **documents.ORACLE, **graphs.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed.p7_found(spark, sf_dir)
+    """The two best edges of every paper that a prediction retrieved."""
+    return graphs.anchors(spark, sf_dir)
