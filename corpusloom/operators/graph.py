@@ -187,3 +187,26 @@ def structure_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     dup = groups.agg(F.sum("n").alias("primary_nodes"), F.sum(F.col("n") - 1).alias("duplicates"), F.count_if(F.col("n") > 1).alias("alias_groups"), F.sum(F.when(F.col("kind") == "paper", F.col("n")).otherwise(0)).alias("papers"))
     across = edges.agg(F.count("*").alias("edges"), F.count_if(F.size("evidence") > 1).alias("cross_doc_edges"))
     return dup.join(F.broadcast(across)).withColumn("duplicate_rate", F.col("duplicates") / F.greatest(F.col("primary_nodes"), F.lit(1)))
+
+
+def degree_limited(candidates: DataFrame, cap: int = 2) -> DataFrame:
+    """Edges ``(a, b, weight)`` chosen so that no node has more than ``cap``, heavy ones first.
+
+    In each round the edges that are first for both of their ends are taken and
+    nodes that are full drop out; it ends when none is left.  The result is that of
+    going through the edges by weight and names, one by one."""
+    left = materialise(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").filter("a <> b").groupBy("a", "b").agg(F.max("weight").alias("weight")))
+    taken = None
+    while left.head(1):
+        ends = left.select(F.col("a").alias("node"), "a", "b", "weight").unionByName(left.select(F.col("b").alias("node"), "a", "b", "weight"))
+        order = F.struct((-F.col("weight")).alias("w"), "a", "b")
+        best = ends.groupBy("node").agg(F.min(order).alias("m"))
+        agreed = best.select("m.a", "m.b", (-F.col("m.w")).alias("weight")).groupBy("a", "b", "weight").agg(F.count("*").alias("n")).filter("n = 2").drop("n")
+        agreed = materialise(agreed)
+        taken = agreed if taken is None else taken.unionByName(agreed)
+        used = taken.select(F.col("a").alias("node")).unionByName(taken.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("d"))
+        full = used.filter(F.col("d") >= cap).select("node")
+        left = left.join(agreed.select("a", "b"), ["a", "b"], "left_anti")
+        left = left.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+        left = materialise(left.select("a", "b", "weight"))
+    return taken if taken is not None else candidates.select("a", "b", "weight").limit(0)

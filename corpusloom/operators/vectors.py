@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialise
+
 #: Vectors of one block; two blocks are multiplied in one task.
 BLOCK = 2048
 
@@ -91,14 +93,23 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return ordered.select("label", F.transform("xs", lambda s: s["x"]).alias("center"))
 
 
-def jaccard(sets: DataFrame, owner: str, item: str) -> DataFrame:
-    """``(a, b, jaccard)`` of owners that share items, of distinct ``(owner, item)``; pairs come from shared items only."""
-    rows = sets.select(F.col(owner).alias("o"), F.col(item).alias("i")).distinct()
-    sizes = rows.groupBy("o").agg(F.count("*").alias("n"))
-    shared = rows.select(F.col("o").alias("a"), "i").join(rows.select(F.col("o").alias("b"), "i"), "i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    return shared.join(sizes.select(F.col("o").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("o").alias("b"), F.col("n").alias("nb")), "b").select(
-        "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")
-    )
+def jaccard(sets: DataFrame, owner: str, item: str, threshold: float) -> DataFrame:
+    """``(a, b, jaccard)`` of owners whose item sets overlap by at least ``threshold``, of ``(owner, item)``.
+
+    Prefix filter: with the items of a set in order of rarity, two sets of that overlap
+    share one of their first ``n - ceil(threshold * n) + 1`` items, so frequent items
+    are hardly joined.  Candidates are verified on the whole sets."""
+    rows = sets.select(F.col(owner).alias("o"), F.col(item).alias("i")).filter("o IS NOT NULL AND i IS NOT NULL").distinct()
+    df = rows.groupBy("i").agg(F.count("*").alias("df"))
+    whole = rows.join(df, "i").groupBy("o").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "i"))), lambda s: s["i"]).alias("items"))
+    whole = whole.withColumn("n", F.size("items"))
+    whole = materialise(whole)
+    prefix = whole.select("o", "n", F.explode(F.slice("items", 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("i"))
+    left, right = prefix.select("i", F.col("o").alias("a"), F.col("n").alias("na")), prefix.select("i", F.col("o").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, "i").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    sized = pairs.join(whole.select(F.col("o").alias("a"), F.col("items").alias("x")), "a").join(whole.select(F.col("o").alias("b"), F.col("items").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return sized.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
 def cluster_count(n: int) -> int:

@@ -172,7 +172,7 @@ def centroid_rank(spark, sf_dir):
 def source_overlap(spark, sf_dir):
     """Journals by the overlap of their keywords."""
     words = corpus_docs(spark, sf_dir).filter("source IS NOT NULL").select("source", F.explode(T.split_keywords(F.col("keywords"))).alias("kw")).select("source", F.lower("kw").alias("kw"))
-    return vectors.jaccard(words, "source", "kw")
+    return vectors.jaccard(words, "source", "kw", 0.2)
 
 
 def label_clusters(spark, sf_dir):
@@ -403,7 +403,7 @@ ORACLE = {
     "SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10",
     "q_jaccard": f"WITH {S.DOCS}, w AS (SELECT DISTINCT source, lower(kw) AS kw FROM (SELECT source, unnest({_KW}) AS kw FROM docs WHERE source IS NOT NULL)), n AS (SELECT source, count(*) AS n FROM w GROUP BY source), "
     "p AS (SELECT x.source AS a, y.source AS b, count(*) AS both_n FROM w x JOIN w y USING (kw) WHERE x.source < y.source GROUP BY 1, 2) "
-    "SELECT a, b, both_n / (na.n + nb.n - both_n) AS jaccard FROM p JOIN n na ON a = na.source JOIN n nb ON b = nb.source",
+    "SELECT a, b, both_n / (na.n + nb.n - both_n) AS jaccard FROM p JOIN n na ON a = na.source JOIN n nb ON b = nb.source WHERE both_n / (na.n + nb.n - both_n) >= 0.2",
     "q_hit_at_k": f"WITH {_TOP}, p AS (SELECT query_id, max((ql = rl)::INT) AS hit, avg((ql = rl)::INT) AS p FROM top WHERE rank <= 5 GROUP BY query_id) SELECT count(*) AS queries, avg(hit) AS hit_rate, avg(p) AS precision FROM p",
     "q_triple_parse": f"WITH {S.TRIPLES} SELECT pred_no, pos, head, relation, tail, score FROM triples",
     "q_merge_results": f"WITH {S.TRIPLES}, {_BEST} SELECT question_id, head, relation, tail, score, hits, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, head, relation, tail) AS rank FROM best QUALIFY rank <= 5",
