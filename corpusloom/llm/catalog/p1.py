@@ -41,9 +41,9 @@ WITH raw AS (
   FROM raw_export WHERE fmt = 'tagged'
 ), folded AS (
   SELECT tab, id,
-    regexp_replace(replace(replace(lower(upper(coalesce(title, ''))), 'ß', 'ss'), 'ς', 'σ'), '[\p{P}\p{Z}\s\x{0085}\x{000b}]+', '', 'g') AS t,
-    regexp_replace(replace(replace(lower(upper(coalesce(doi, ''))), 'ß', 'ss'), 'ς', 'σ'), '[\p{P}\p{Z}\s\x{0085}\x{000b}]+', '', 'g') AS d,
-    regexp_replace(replace(replace(lower(upper(coalesce(db, ''))), 'ß', 'ss'), 'ς', 'σ'), '[\p{P}\p{Z}\s\x{0085}\x{000b}]+', '', 'g') AS b
+    regexp_replace(translate(replace(lower(coalesce(title, '')), 'ß', 'ss'), 'ςſµ', 'σsμ'), '[\p{P}\p{Z}\s\x{0085}\x{000b}]+', '', 'g') AS t,
+    regexp_replace(translate(replace(lower(coalesce(doi, '')), 'ß', 'ss'), 'ςſµ', 'σsμ'), '[\p{P}\p{Z}\s\x{0085}\x{000b}]+', '', 'g') AS d,
+    regexp_replace(translate(replace(lower(coalesce(db, '')), 'ß', 'ss'), 'ςſµ', 'σsμ'), '[\p{P}\p{Z}\s\x{0085}\x{000b}]+', '', 'g') AS b
   FROM raw
 ), keys AS (SELECT * FROM folded WHERE t <> '')
 """

@@ -36,7 +36,8 @@ _SCHEMA = "tab string, bucket binary, key binary, n bigint, first_id bigint"
 
 def canonical_text(value: Column) -> Column:
     """Case-folded text without white space and Unicode punctuation; null is empty."""
-    folded = F.translate(F.lower(F.upper(F.coalesce(value, F.lit("")))), "ς", "σ")
+    # lower case, and the letters whose capitals stand for another small letter
+    folded = F.replace(F.translate(F.lower(F.coalesce(value, F.lit(""))), "ςſµ", "σsμ"), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(folded, r"[\p{P}\p{IsWhite_Space}]+", "")
 
 

@@ -25,6 +25,8 @@ def mix_plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     Documents are summed up per source and weight first, so all that follows has a
     row per distinct weight."""
+    documents = documents.select("source", F.coalesce("weight", F.lit(1.0)).alias("weight"), "tokens").filter("source IS NOT NULL AND tokens > 0")
+    targets = targets.select("mix_id", "source", "target_permille", "max_repeat", "total_tokens")
     held = documents.groupBy("source", "weight").agg(F.sum("tokens").alias("tokens"))
     goals = targets.withColumn("goal", F.col("target_permille").cast("double") * F.col("total_tokens") / 1000)
     table = goals.join(held, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -47,6 +49,7 @@ def mix_plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     """``(mix_id, source, doc_id, tokens, copies)`` of ``(doc_id, source, tokens, weight)``: how often each document is used."""
+    documents = documents.select("doc_id", "source", "tokens", F.coalesce("weight", F.lit(1.0)).alias("weight")).filter("source IS NOT NULL AND tokens > 0")
     rows = documents.join(plan.select("mix_id", "source", "weight", F.col("copies").alias("expected")), ["source", "weight"])
     rows = rows.withColumn("certain", F.floor(F.col("expected") + 1e-9).cast("int")).withColumn("chance", F.greatest(F.col("expected") - F.col("certain"), F.lit(0.0)))
     odds = uniform(seed, "mix_id", "doc_id")
