@@ -81,10 +81,10 @@ def test_network_learns_and_pads():
 
 
 def test_languages(spark):
-    net = train(read(spark, "/root/testdata/sf0.01", "documents"), read(spark, SF, "lang_seed"), 60)
+    net = train(read(spark, "/root/testdata/sf0.1", "documents"), read(spark, SF, "lang_seed"), 250)
     seeds = read(spark, SF, "lang_seed").collect()
     held = languages(spark.createDataFrame([(i, r["text"], "x") for i, r in enumerate(seeds)], "doc_id bigint, text string, lang string"), net).filter("seg_no = 0").collect()
-    assert sum(r["lang"] == seeds[r["doc_id"]]["lang"] for r in held) >= len(seeds) - 6
+    assert sum(r["lang"] == seeds[r["doc_id"]]["lang"] for r in held) >= len(seeds) - 2
     en, de = next(r["text"] for r in seeds if r["lang"] == "en"), next(r["text"] for r in seeds if r["lang"] == "de")
     rows = [(1, f"{en} {en}\n{de}"), (2, None), (3, ""), (4, "— 12 / 48 —"), (5, f"Title: {en}"), (6, en), (7, (en + " ") * 3000)]
     got = sorted((r["doc_id"], r["seg_no"], r["lang"]) for r in languages(spark.createDataFrame(rows, "doc_id bigint, text string"), net).collect())
