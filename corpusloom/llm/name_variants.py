@@ -34,8 +34,8 @@ from corpusloom.session import materialise
 MIN_SIMILARITY = 0.8
 #: A token beside at least so many others is a given name rather than a surname.
 MIN_PARTNERS = 8
-#: A short form stands beside its full form in at least this share of its surnames, and so often above chance.
-ALIAS_SHARE, ALIAS_LIFT, ALIAS_SUPPORT = 0.5, 2.5, 3
+#: A short form shares at least so many of its surnames, and this share of them, with its full form, so many standard deviations above chance.
+ALIAS_SUPPORT, ALIAS_SHARE, ALIAS_DEVIATIONS = 4, 0.5, 4.0
 _MIN_TYPO = 5
 #: Similarity of two names of three or more ideographs that differ in one.
 HAN_TYPO = 0.85
@@ -224,21 +224,20 @@ def _roles(read: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, D
     return told.unionByName(organs).filter(F.coalesce(F.col("core"), F.lit("")) != ""), similar, degrees
 
 
-def _learned_aliases(keys: DataFrame, degrees: DataFrame) -> DataFrame:
-    """``(short_form, full_form)``: a token that stands beside the same full given name under most of its surnames."""
-    given = keys.filter("kind = 'author' AND script = 'l'").select("core", F.col("rest").alias("g")).distinct()
+def _learned_aliases(keys: DataFrame, typos: DataFrame) -> DataFrame:
+    """``(short_form, full_form)``: a token that stands beside the same full given name under most of its surnames.
+
+    Misspelt names are no short forms; a token is short for one name only, the one it shares most surnames with."""
+    given = keys.filter("kind = 'author' AND script = 'l'").select("core", F.col("rest").alias("g")).distinct().join(typos.select(F.col("rest").alias("g")).distinct(), "g", "left_anti")
     under = given.groupBy("g").agg(F.count("*").alias("cores")).filter(F.col("cores") >= ALIAS_SUPPORT)
-    frequent = given.join(under.select("g"), "g")
-    both = frequent.alias("s").join(frequent.alias("f"), F.col("s.core") == F.col("f.core")).filter("s.g <> f.g").groupBy(F.col("s.g").alias("short"), F.col("f.g").alias("full")).agg(F.count("*").alias("both"))
+    frequent = materialise(given.join(under, "g"))
+    pairs = frequent.select("core", F.col("g").alias("short"), F.col("cores").alias("n_short")).join(frequent.select("core", F.col("g").alias("full"), F.col("cores").alias("n_full")), "core")
+    both = pairs.filter("n_full > n_short").groupBy("short", "full", "n_short", "n_full").agg(F.count("*").alias("both"))
     total = given.select("core").distinct().agg(F.count("*").alias("all_cores"))
-    scored = (
-        both.join(under.select(F.col("g").alias("short"), F.col("cores").alias("n_short")), "short")
-        .join(under.select(F.col("g").alias("full"), F.col("cores").alias("n_full")), "full").join(F.broadcast(total))
-    )
-    share = F.col("both") / F.col("n_short")
-    return scored.filter(
-        (share >= ALIAS_SHARE) & (F.col("both") >= ALIAS_SUPPORT) & (F.col("n_full") > F.col("n_short")) & (share * F.col("all_cores") / F.col("n_full") >= ALIAS_LIFT)
-    ).select(F.col("short").alias("short_form"), F.col("full").alias("full_form"))
+    chance = F.col("n_full") / F.col("all_cores")
+    deviations = (F.col("both") - F.col("n_short") * chance) / F.sqrt(F.col("n_short") * chance * (1 - chance) + 1e-9)
+    scored = both.join(F.broadcast(total)).filter((F.col("both") >= ALIAS_SUPPORT) & (F.col("both") >= ALIAS_SHARE * F.col("n_short")) & (deviations >= ALIAS_DEVIATIONS))
+    return scored.groupBy(F.col("short").alias("short_form")).agg(F.max_by("full", F.struct("both", "full")).alias("full_form"))
 
 
 def _weighted(core_match: Column, rest_match: Column, core_df: Column, rest_df: Column, total: Column) -> Column:
@@ -246,7 +245,15 @@ def _weighted(core_match: Column, rest_match: Column, core_df: Column, rest_df:
     return (wc * core_match + wr * rest_match) / (wc + wr)
 
 
-def _links(keys: DataFrame, similar: DataFrame, aliases: DataFrame, degrees: DataFrame) -> DataFrame:
+def _given_typos(similar: DataFrame, degrees: DataFrame) -> DataFrame:
+    """``(kind, rest, to_rest, rest_match)``: tokens one edit from a much more frequent given name."""
+    frequent = degrees.filter(F.col("deg") >= MIN_PARTNERS).select(F.col("token").alias("b"), F.col("deg").alias("b_deg"))
+    rarer = degrees.select(F.col("token").alias("a"), F.col("deg").alias("a_deg"))
+    near = similar.filter("kind = 'author'").join(frequent, "b").join(rarer, "a", "left").filter(F.col("b_deg") > 3 * F.coalesce("a_deg", F.lit(0)))
+    return near.select("kind", F.col("a").alias("rest"), F.col("b").alias("to_rest"), (1 - 1 / F.length("a")).alias("rest_match"))
+
+
+def _links(keys: DataFrame, similar: DataFrame, aliases: DataFrame, typos: DataFrame) -> DataFrame:
     """``(kind, core, rest, dept, to_core, to_rest, to_dept)``: each reading's best more canonical reading."""
     id_cols = ["kind", "core", "rest", "dept"]
     core_df = keys.groupBy("kind", "core").agg(F.count("*").alias("core_df"))
@@ -259,13 +266,8 @@ def _links(keys: DataFrame, similar: DataFrame, aliases: DataFrame, degrees: Dat
     near_core = rated.join(cores, ["kind", "core"]).select(*id_cols, "n", "core_df", "rest_df", "total", "to_core", "core_match")
     both = own_core.unionByName(near_core)
     # given names: a short form's full forms, and the known name one edit away
-    frequent = degrees.filter(F.col("deg") >= MIN_PARTNERS).select("token", "deg")
-    typo = (
-        similar.filter("kind = 'author'").join(frequent.select(F.col("token").alias("b"), F.col("deg").alias("b_deg")), "b").join(degrees.select(F.col("token").alias("a"), F.col("deg").alias("a_deg")), "a", "left")
-        .filter(F.col("b_deg") > 3 * F.coalesce("a_deg", F.lit(0))).select("kind", F.col("a").alias("rest"), F.col("b").alias("to_rest"), (1 - 1 / F.length("a")).alias("rest_match"))
-    )
     nick = aliases.select(F.lit("author").alias("kind"), F.col("short_form").alias("rest"), F.col("full_form").alias("to_rest"), F.lit(0.9).alias("rest_match"))
-    rests = typo.unionByName(nick)
+    rests = typos.unionByName(nick)
     own_rest = both.withColumn("to_rest", F.col("rest")).withColumn("rest_match", F.lit(1.0))
     near_rest = both.join(rests, ["kind", "rest"]).select(*own_rest.columns)
     candidates = own_rest.unionByName(near_rest).filter((F.col("core") != F.col("to_core")) | (F.col("rest") != F.col("to_rest")))
@@ -306,8 +308,9 @@ def name_variants(names: DataFrame, aliases: DataFrame) -> DataFrame:
     full = told.filter("rest IS NOT NULL OR script = 'h'").withColumn("rest", F.coalesce("rest", F.lit("")))
     keys = materialise(full.groupBy("kind", "script", "core", "rest", "dept").agg(F.sum("n").alias("n")))
     given_table = aliases.select(F.lower("short_form").alias("short_form"), F.lower("full_form").alias("full_form"))
-    alias_table = materialise(given_table.unionByName(_learned_aliases(keys, degrees)).distinct())
-    links = materialise(_links(keys.drop("script"), similar, alias_table, degrees).select("kind", _key("core", "rest", "dept").alias("key"), _key("to_core", "to_rest", "to_dept").alias("to")))
+    typos = materialise(_given_typos(similar, degrees))
+    alias_table = materialise(given_table.unionByName(_learned_aliases(keys, typos)).distinct())
+    links = materialise(_links(keys.drop("script"), similar, alias_table, typos).select("kind", _key("core", "rest", "dept").alias("key"), _key("to_core", "to_rest", "to_dept").alias("to")))
     # follow the links: a short form of a misspelt name is at most a few steps from its root
     label = keys.select("kind", _key("core", "rest", "dept").alias("key")).join(links, ["kind", "key"], "left").select("kind", "key", F.coalesce("to", "key").alias("to"))
     for _ in range(3):
@@ -321,7 +324,8 @@ def name_variants(names: DataFrame, aliases: DataFrame) -> DataFrame:
     people = whole.filter("kind = 'author'")
     middles = people.filter(F.size("initials") > 0).groupBy("entity").agg(F.min(F.col("initials")[0]).alias("middle"))
     forms = people.filter("rest <> ''").select("entity", "core", F.col("rest").alias("g")).distinct()
-    forms = forms.unionByName(forms.join(alias_table.select(F.col("short_form").alias("g"), F.col("full_form")), "g").select("entity", "core", F.col("full_form").alias("g"))).distinct().join(middles, "entity", "left")
+    fuller = alias_table.select(F.col("short_form").alias("g"), F.col("full_form").alias("to")).unionByName(typos.select(F.col("rest").alias("g"), F.col("to_rest").alias("to")))
+    forms = forms.unionByName(forms.join(fuller, "g").select("entity", "core", F.col("to").alias("g"))).distinct().join(middles, "entity", "left")
     partial = told.filter("kind = 'author' AND script = 'l' AND rest IS NULL AND (abbr IS NOT NULL OR size(initials) > 0)").select(
         "name", "core", F.coalesce("abbr", F.col("initials")[0]).alias("start"),
         F.when(F.col("abbr").isNotNull(), F.get("initials", F.lit(0))).otherwise(F.get("initials", F.lit(1))).alias("mid"),
