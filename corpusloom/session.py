@@ -38,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_materialised(spark: SparkSession) -> int:
+    """Deletes the tables this process wrote with ``materialise``; gives their number.
+
+    For the end of a job: results that still read them must be written first."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -45,6 +59,7 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     size, so a later join broadcasts it only if it is small.
     """
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -94,3 +94,10 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["k"] for r in spark.read.parquet(str(tmp_path / "done")).collect()} == {"2.0", "4.0"}
+
+
+def test_materialised_tables_are_dropped(spark):
+    from corpusloom.session import drop_materialised, materialise
+
+    table = materialise(spark.range(3).toDF("a"))
+    assert table.count() == 3 and drop_materialised(spark) >= 1 and drop_materialised(spark) == 0
