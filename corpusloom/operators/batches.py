@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_SCHEMA = "cluster string, unit string, size bigint, batch int"
+_SCHEMA = "cluster string, unit string, size bigint, batch string"
 
 
 def pack_in_order(sizes: list[int], max_units: int, max_size: int) -> list[int]:
@@ -21,22 +22,25 @@ def pack_in_order(sizes: list[int], max_units: int, max_size: int) -> list[int]:
     return out
 
 
-def pack_batches(units: DataFrame, max_units: int = 12, max_size: int = 24_000) -> DataFrame:
+def pack_batches(units: DataFrame, max_units: int = 12, max_size: int = 24_000, tasks: int | None = None) -> DataFrame:
     """``(cluster, unit, size, batch)``: units of each cluster in order of their name.
 
-    Rows come sorted by cluster and are packed as they stream by, so no cluster is held whole."""
+    Rows are put into ranges of (cluster, unit) and packed as they stream by, so a
+    large cluster is packed by several tasks; each range closes its last batch."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, batch, n, used = None, 0, 0, 0
         for frame in frames:
-            numbers = []
-            for cluster, size in zip(frame["cluster"], frame["size"]):
+            names = []
+            for cluster, size, part in zip(frame["cluster"], frame["size"], frame["part"]):
                 if cluster != at:
                     at, batch, n, used = cluster, 0, 0, 0
                 elif n >= max_units or used + size > max_size:
                     batch, n, used = batch + 1, 0, 0
                 n, used = n + 1, used + size
-                numbers.append(batch)
-            yield frame.assign(batch=numbers)[["cluster", "unit", "size", "batch"]]
+                names.append(f"{part}-{batch}")
+            yield frame.assign(batch=names)[["cluster", "unit", "size", "batch"]]
 
-    return units.select("cluster", "unit", "size").repartition("cluster").sortWithinPartitions("cluster", "unit").mapInPandas(pack, _SCHEMA)
+    rows = units.select("cluster", "unit", "size")
+    ranged = rows.repartitionByRange(tasks, "cluster", "unit") if tasks else rows.repartitionByRange("cluster", "unit")
+    return ranged.sortWithinPartitions("cluster", "unit").withColumn("part", F.spark_partition_id()).mapInPandas(pack, _SCHEMA)

@@ -39,9 +39,9 @@ def context(members: DataFrame, per_list: int = 8) -> DataFrame:
     """``(community, concepts, titles)`` of ``(community, name, type, score)``: preferred types, else types not excluded, by score."""
     pool = F.when(F.col("type").isin(*PREFERRED_TYPES), 0).when(~F.col("type").isin(*EXCLUDED_TYPES), 1).when(F.col("type") == "论文", 2).otherwise(3)
     rows = members.withColumn("pool", pool)
-    concept_pool = F.min(F.when(F.col("pool") < 2, F.col("pool"))).over(Window.partitionBy("community"))
+    concept_pool = rows.filter("pool < 2").groupBy("community").agg(F.min("pool").alias("use"))
     order = Window.partitionBy("community", "pool").orderBy(F.desc("score"), "name")
-    ranked = rows.withColumn("use", concept_pool).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_list)
+    ranked = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_list).join(concept_pool, "community", "left")
     listed = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("r", "name")))), lambda s: s["name"])
     return ranked.groupBy("community").agg(listed(F.col("pool") == F.col("use")).alias("concepts"), listed(F.col("pool") == 2).alias("titles"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.ranking import row_numbers
 from corpusloom.session import materialise
 
 MAX_AUTHORS = 3
@@ -171,8 +172,7 @@ def keyword_bridges(docs: DataFrame, batch: int = 12, per_batch: int = 4) -> Dat
     Papers of one first keyword are put into batches of ``batch``; within a batch the
     pairs are few, and the first ``per_batch`` by position are kept."""
     cluster = F.coalesce(F.lower(F.get("keywords", F.lit(0))), F.lit("misc"))
-    order = Window.partitionBy("cluster").orderBy("doc_uid", "pos")
-    rows = docs.withColumn("cluster", cluster).withColumn("rn", F.row_number().over(order)).withColumn("batch", F.concat_ws("#", "cluster", F.floor((F.col("rn") - 1) / batch).cast("string")))
+    rows = row_numbers(docs.select("doc_uid", "pos", "keywords", cluster.alias("cluster")), ["cluster"], ["doc_uid", "pos"]).withColumn("batch", F.concat_ws("#", "cluster", F.floor((F.col("rn") - 1) / batch).cast("string")))
     words = rows.select("batch", "rn", "doc_uid", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("kw"))
     left, right = words.select("batch", "kw", F.col("rn").alias("i"), F.col("doc_uid").alias("a")), words.select("batch", "kw", F.col("rn").alias("j"), F.col("doc_uid").alias("b"))
     pairs = left.join(right, ["batch", "kw"]).filter("i < j").groupBy("batch", "i", "j", "a", "b").agg(F.count("*").alias("shared"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import allocation, batches, evaluation, graph, retrieval, vectors, visual
+from corpusloom.operators.ranking import trailing_count
 from corpusloom.queries import sql as S
 from corpusloom.queries.documents import corpus_docs
 from corpusloom.session import materialise, read
@@ -315,9 +316,7 @@ def strata_allocation(spark, sf_dir):
 
 def rate_window(spark, sf_dir):
     """Events of a user within the last 60 seconds, the event itself included."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    trailing = Window.partitionBy("user_id").orderBy("us").rangeBetween(-(60_000_000 - 1), 0)
-    return read(spark, sf_dir, "events").withColumn("us", at).select("event_id", F.count("*").over(trailing).alias("recent"))
+    return trailing_count(read(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")), 60_000_000).select("event_id", "recent")
 
 
 def cross_tab(spark, sf_dir):

@@ -134,8 +134,10 @@ def test_batches(spark):
     sizes = [5, 5, 5, 20, 1, 1, 1, 30]
     assert batches.pack_in_order(sizes, 3, 16) == [0, 0, 0, 1, 2, 2, 2, 3]
     frame = spark.createDataFrame([(c, f"u{i}", s) for c in "xy" for i, s in enumerate(sizes)], "cluster string, unit string, size bigint")
-    rows = sorted((r["cluster"], r["unit"], r["batch"]) for r in batches.pack_batches(frame, 3, 16).collect())
-    assert [b for c, _, b in rows if c == "x"] == [b for c, _, b in rows if c == "y"] == [0, 0, 0, 1, 2, 2, 2, 3]
+    rows = sorted((r["cluster"], r["unit"], r["batch"]) for r in batches.pack_batches(frame, 3, 16, tasks=1).collect())
+    assert [b for c, _, b in rows if c == "x"] == [b for c, _, b in rows if c == "y"] == [f"0-{b}" for b in (0, 0, 0, 1, 2, 2, 2, 3)]
+    totals = batches.pack_batches(frame, 3, 16).groupBy("cluster", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
+    assert all(r["n"] <= 3 and (r["s"] <= 16 or r["n"] == 1) for r in totals)
 
 
 def test_vectors(spark):
@@ -202,3 +204,20 @@ def test_external(spark):
     assert {(r["id"], r["status"], r["text"]) for r in complete(frame, "id", "text", model).collect()} == {("a", "success", "X Y"), ("b", "failed", "no prompt")}
     assert repair_json('```json\n{"a": [1, 2,], "b": {"c": 3\n```') == '{"a": [1, 2], "b": {"c": 3}}'
     assert repair_json("none") is None
+
+
+def test_row_numbers_of_a_hot_group(spark):
+    from corpusloom.operators.ranking import row_numbers, trailing_count
+
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else f"g{i % 7}", rng.random(), i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "g string, x double, i int")
+    got = {r["i"]: r["rn"] for r in row_numbers(frame, ["g"], ["x", "i"]).collect()}
+    seen = collections.Counter()
+    for g, _, i in sorted(rows):
+        seen[g] += 1
+        assert got[i] == seen[g]
+    times = [(g, int(x * 10_000), i) for g, x, i in rows]
+    counted = trailing_count(spark.createDataFrame(times, "g string, t bigint, i int"), "g", F.col("t"), 60).collect()
+    for r in counted:
+        assert r["recent"] == sum(1 for g, t, _ in times if g == r["g"] and r["t"] - 60 < t <= r["t"])
