@@ -333,7 +333,8 @@ def name_variants(names: DataFrame, aliases: DataFrame) -> DataFrame:
     near = similar.filter("kind = 'author'").select(F.col("a").alias("core"), F.col("b").alias("at"))
     places = partial.withColumn("at", F.col("core")).withColumn("far", F.lit(0)).unionByName(partial.join(near, "core").withColumn("far", F.lit(1)).select("name", "core", "start", "mid", "at", "far"))
     options = (
-        places.join(forms.withColumnRenamed("core", "at"), "at").filter(F.col("g").startswith(F.col("start")))
+        places.withColumn("letter", F.col("start").substr(1, 1))
+        .join(forms.withColumnRenamed("core", "at").withColumn("letter", F.col("g").substr(1, 1)), ["at", "letter"]).filter(F.col("g").startswith(F.col("start")))
         .filter(F.col("mid").isNull() | F.col("middle").isNull() | (F.col("mid") == F.col("middle")))
         .groupBy("name", "entity").agg(F.min("far").alias("far"), F.max(F.coalesce(F.col("mid") == F.col("middle"), F.lit(False))).alias("sure"))
     )

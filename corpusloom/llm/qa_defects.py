@@ -149,34 +149,29 @@ _WALK = "kind string, text string, pid int, longer boolean"
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Backwards over one sorted range: has an unfinished text a complete longer one behind it?"""
-    texts: list[str] = []
-    complete: list[bool] = []
-    tails: list[bool] = []
+    """Over one range in falling order: has an unfinished text a complete longer one behind it?"""
+    following: str | None = None
     pid = 0
     for batch in batches:
-        texts += batch.column("text").to_pylist()
-        complete += batch.column("complete").to_pylist()
-        tails += batch.column("tail").to_pylist()
-        if batch.num_rows:
-            pid = batch.column("pid")[0].as_py()
-    following: str | None = None
-    out: list[tuple[str, str, bool | None]] = []
-    for text, is_complete, is_tail in zip(reversed(texts), reversed(complete), reversed(tails)):
-        if is_tail:
-            out.append(("tail", text, None if following is None else following.startswith(text)))
-        if is_complete:
-            following = text
+        out: list[tuple[str, str, bool | None]] = []
+        for text, is_complete, is_tail, pid in zip(*(batch.column(c).to_pylist() for c in ("text", "complete", "tail", "pid"))):
+            if is_tail:
+                out.append(("tail", text, None if following is None else following.startswith(text)))
+            if is_complete:
+                following = text
+        yield _found(out, pid)
     if following is not None:
-        out.append(("first", following, None))
-    if out:
-        kinds, found, longer = zip(*out)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string()), pa.array([pid] * len(out), pa.int32()), pa.array(longer, pa.bool_())], names=["kind", "text", "pid", "longer"])
+        yield _found([("first", following, None)], pid)
+
+
+def _found(rows: list[tuple[str, str, bool | None]], pid: int) -> pa.RecordBatch:
+    kinds, texts, longer = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array([pid] * len(rows), pa.int32()), pa.array(longer, pa.bool_())], names=["kind", "text", "pid", "longer"])
 
 
 def shortened(fragments: DataFrame) -> DataFrame:
     """``(text, longer)`` of the ``tail`` rows of ``(text, complete, tail)``: does a complete text continue it?"""
-    ranged = fragments.repartitionByRange(F.col("text")).sortWithinPartitions("text").select("text", "complete", "tail", F.spark_partition_id().alias("pid"))
+    ranged = fragments.repartitionByRange(F.col("text")).sortWithinPartitions(F.desc("text")).select("text", "complete", "tail", F.spark_partition_id().alias("pid"))
     walked = materialise(ranged.mapInArrow(_walk, _WALK))
     firsts = walked.filter("kind = 'first'").select("pid", F.col("text").alias("first"))  # a row per range
     nexts = firsts.select("pid", "first").orderBy("pid")
