@@ -31,6 +31,7 @@ def metadata_edges(docs: DataFrame) -> DataFrame:
         F.slice(F.filter(T.split_metadata(F.col("authors")), T.is_author_name), 1, MAX_AUTHORS).alias("people"),
         F.array_distinct(F.filter(F.transform(T.split_metadata(F.col("organ")), T.primary_organisation), lambda o: o != "")).alias("organs"),
     )
+    rows = materialise(rows)  # three kinds of edges are made of it
     published = rows.filter("journal <> ''").select(_edge(F.col("paper"), "发表于", node_id("journal", F.col("journal")), 0.95).alias("e"), "doc_uid", "pos")
     wrote = rows.select("doc_uid", "pos", "paper", F.explode("people").alias("person")).select(_edge(node_id("author", F.col("person")), "撰写", F.col("paper"), 0.95).alias("e"), "doc_uid", "pos")
     edges = published.unionByName(wrote).unionByName(affiliation_edges(rows))

@@ -21,7 +21,8 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.deduplicate(graph_edges(spark, sf_dir))
+    """The graph's edges, written once, as most queries go over them several times."""
+    return materialise(graph.deduplicate(graph_edges(spark, sf_dir)))
 
 
 def author_seeds(edges: DataFrame) -> DataFrame:
@@ -51,12 +52,12 @@ def one_hop(spark, sf_dir):
 
 
 def khop3(spark, sf_dir):
-    edges = materialise(unique_edges(spark, sf_dir).select("src", "relation", "dst"))
+    edges = unique_edges(spark, sf_dir).select("src", "relation", "dst")
     return graph.k_hop(edges, author_seeds(edges), 3)
 
 
 def paths_depth2(spark, sf_dir):
-    edges = materialise(unique_edges(spark, sf_dir).select("src", "relation", "dst"))
+    edges = unique_edges(spark, sf_dir).select("src", "relation", "dst")
     journals = edges.filter("relation = '发表于'").select(F.col("dst").alias("node_id")).distinct()
     return graph.paths_to(edges, author_seeds(edges), journals)
 
@@ -237,8 +238,8 @@ def fallback(spark, sf_dir):
 
 def anchors(spark, sf_dir):
     """Two edges of every paper that a prediction retrieved."""
-    docs = corpus_docs(spark, sf_dir)
-    edges = graph.deduplicate(graph.metadata_edges(docs))
+    docs = materialise(corpus_docs(spark, sf_dir).select("doc_uid", "base_id", "pos", "title", "source", "authors", "organ"))
+    edges = materialise(graph.deduplicate(graph.metadata_edges(docs)))
     hits = read(spark, sf_dir, "qaprediction").select(F.explode("retrieved_chunks").alias("base_id")).distinct()
     papers = docs.join(hits, "base_id", "left_semi").select(F.concat(F.lit("paper::"), "doc_uid").alias("node_id")).distinct()
     return retrieval.anchor_triples(edges, papers)
