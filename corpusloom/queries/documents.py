@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.identity import alias_table, resolve_entities, resolve_names, with_doc_uid
 from corpusloom.queries import sql as S
-from corpusloom.session import read
+from corpusloom.session import read, spread
 from corpusloom.sources.raw_export import parse_exported
 
 
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus records with their uid and their fields as columns."""
-    rows = with_doc_uid(read(spark, sf_dir, "demo_corpus"))
+    rows = with_doc_uid(spread(read(spark, sf_dir, "demo_corpus").select("rec_no", "id", "meta")))
     return rows.select("doc_uid", "base_id", F.col("rec_no").alias("pos"), *[F.col(f"meta.{f}").alias(f) for f in ("title", "authors", "organ", "source", "keywords", "abstract", "year", "time")])
 
 

@@ -67,6 +67,12 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files give fewer tasks than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the supplied tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
