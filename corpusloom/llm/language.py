@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 LANGUAGES = ("zh", "en", "ja", "ko", "de", "fr", "es", "pt", "ru")
 WINDOW = 64
 DOCS_PER_LANGUAGE = 400
@@ -276,4 +278,4 @@ def _classify(net: ByteConvNet):
 
 def languages(documents: DataFrame, net: ByteConvNet) -> DataFrame:
     """``(doc_id, seg_no, lang, confidence, chars)``: 0 for the document, 1, 2, ... for the segments of mixed ones."""
-    return documents.select("doc_id", "text").mapInArrow(_classify(net), _FOUND)
+    return spread(documents.select("doc_id", "text")).mapInArrow(_classify(net), _FOUND)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 #: Encodings a text is wrongly read with.  cp1252 stands for latin-1 too.
 WRONG = ("cp1252", "gb18030", "cp1251", "cp437", "big5hkscs", "cp850", "koi8-r", "mac-roman", "shift_jis", "cp949", "cp1253")
 _SINGLE_BYTE = ("cp1252", "cp1251", "cp437", "cp850", "koi8-r", "mac-roman")
@@ -315,4 +317,4 @@ def garbled_fields(df: DataFrame, id_col: str, fields: dict[str, Column]) -> Dat
     ``layers`` counts the wrong decodings undone; with ``lost`` some characters
     cannot be recovered and remain as replacement characters."""
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), *[c.alias(n) for n, c in fields.items()])
-    return texts.mapInArrow(_scan(list(fields)), _SCHEMA)
+    return spread(texts).mapInArrow(_scan(list(fields)), _SCHEMA)
