@@ -86,6 +86,27 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     return reached.groupBy("node_id").agg(F.min("depth").alias("depth"))
 
 
+def one_hop_each(edges: DataFrame) -> DataFrame:
+    """``(node_id, src, relation, dst)``: the edges that touch each node; a loop counts once for its node."""
+    links = edges.select("src", "relation", "dst").distinct()
+    ends = F.array_distinct(F.array("src", "dst"))
+    return links.select(F.explode(ends).alias("node_id"), "src", "relation", "dst")
+
+
+def k_hop_each(edges: DataFrame, hops: int = 3) -> DataFrame:
+    """``(seed, node_id, depth)`` reached along out-edges from each node, with the least depth.
+
+    Nodes without out-edges reach themselves only."""
+    links = materialise(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct())
+    nodes = links.select("node_id").union(links.select("next")).distinct()
+    frontier = nodes.select(F.col("node_id").alias("seed"), "node_id")
+    reached = frontier.withColumn("depth", F.lit(0))
+    for depth in range(1, hops + 1):
+        frontier = materialise(frontier.join(links, "node_id").select("seed", F.col("next").alias("node_id")).distinct())
+        reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    return reached.groupBy("seed", "node_id").agg(F.min("depth").alias("depth"))
+
+
 def paths_to(edges: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
     """``(start, middle, target)``: out-paths of one or two edges from seeds to targets; ``middle`` is null for one."""
     links = edges.select("src", "dst").distinct()

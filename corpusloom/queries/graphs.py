@@ -62,6 +62,23 @@ def paths_depth2(spark, sf_dir):
     return graph.paths_to(edges, author_seeds(edges), journals)
 
 
+def one_hop_all(spark, sf_dir):
+    """The edges of every node, each node being a query."""
+    return graph.one_hop_each(unique_edges(spark, sf_dir))
+
+
+def khop3_all(spark, sf_dir):
+    """What every node reaches in three hops."""
+    return graph.k_hop_each(unique_edges(spark, sf_dir), 3)
+
+
+def paths_depth2_all(spark, sf_dir):
+    """Paths from every node to the journals."""
+    edges = unique_edges(spark, sf_dir).select("src", "relation", "dst")
+    journals = edges.filter("relation = '发表于'").select(F.col("dst").alias("node_id")).distinct()
+    return graph.paths_to(edges, graph.nodes_of(edges), journals)
+
+
 def components(spark, sf_dir):
     """Authors and papers connected through authorship."""
     found = graph.components(unique_edges(spark, sf_dir).filter("relation = '撰写'"))
@@ -327,6 +344,7 @@ def cross_tab(spark, sf_dir):
 
 QUERIES = {
     "q_metadata_edges": metadata_edges, "q_positional_affiliation": affiliations, "q_triple_dedup": triple_dedup, "q_degree": degree, "q_one_hop": one_hop, "q_khop3": khop3,
+    "q_one_hop_all": one_hop_all, "q_khop3_all": khop3_all, "q_paths_depth2_all": paths_depth2_all,
     "q_paths_depth2": paths_depth2, "q_components": components, "q_graph_export": graph_export, "q_node_identity": node_identity, "q_inverted_index": inverted_index, "q_keyword_nodes": keyword_nodes,
     "q_exact_title_match": named_keywords, "q_fact_units": fact_units, "q_first_keyword_cluster": first_keyword_clusters, "q_keyword_overlap_bridges": keyword_bridges, "q_unit_batches": unit_batches,
     "q_graph_quality": graph_quality, "q_link_priority": link_priority, "q_shown_links": shown_links,
@@ -374,6 +392,14 @@ ORACLE = {
     "q_paths_depth2": f"{_E}, {_SEEDS}, l AS (SELECT DISTINCT src, dst FROM dedup), j AS (SELECT DISTINCT dst FROM dedup WHERE relation = '发表于') "
     "SELECT l.src AS start, NULL AS middle, l.dst AS target FROM l JOIN seeds ON l.src = node_id WHERE l.dst IN (SELECT dst FROM j) "
     "UNION ALL SELECT a.src, a.dst, b.dst FROM l a JOIN seeds ON a.src = node_id JOIN l b ON a.dst = b.src WHERE b.dst IN (SELECT dst FROM j) AND a.src <> b.dst",
+    "q_one_hop_all": f"{_E} SELECT DISTINCT src AS node_id, src, relation, dst FROM dedup UNION SELECT dst, src, relation, dst FROM dedup",
+    "q_khop3_all": f"{_E}, l AS (SELECT DISTINCT src, dst FROM dedup), n AS (SELECT src AS node_id FROM l UNION SELECT dst FROM l), h1 AS (SELECT src AS seed, dst AS node_id FROM l), "
+    "h2 AS (SELECT DISTINCT seed, dst AS node_id FROM h1 JOIN l ON src = node_id), h3 AS (SELECT DISTINCT seed, dst AS node_id FROM h2 JOIN l ON src = node_id), "
+    "a AS (SELECT node_id AS seed, node_id, 0 AS d FROM n UNION ALL SELECT seed, node_id, 1 FROM h1 UNION ALL SELECT seed, node_id, 2 FROM h2 UNION ALL SELECT seed, node_id, 3 FROM h3) "
+    "SELECT seed, node_id, min(d) AS depth FROM a GROUP BY seed, node_id",
+    "q_paths_depth2_all": f"{_E}, l AS (SELECT DISTINCT src, dst FROM dedup), j AS (SELECT DISTINCT dst FROM dedup WHERE relation = '发表于') "
+    "SELECT src AS start, NULL AS middle, dst AS target FROM l WHERE dst IN (SELECT dst FROM j) "
+    "UNION ALL SELECT a.src, a.dst, b.dst FROM l a JOIN l b ON a.dst = b.src WHERE b.dst IN (SELECT dst FROM j) AND a.src <> b.dst",
     "q_graph_export": f"{_E} SELECT replace(src, '::', '|') AS src, relation, replace(dst, '::', '|') AS dst, confidence, array_to_string(evidence, ',') AS papers FROM dedup",
     "q_node_identity": f"{_E}, e AS (SELECT src AS n FROM dedup UNION ALL SELECT dst FROM dedup) SELECT split_part(n, '::', 1) AS label, count(DISTINCT n) AS by_name, count(*) AS ends FROM e GROUP BY 1",
     "q_inverted_index": f"{_E}, {_NODES}, {_INDEX} SELECT term, count(*) AS nodes FROM idx GROUP BY term",

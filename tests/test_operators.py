@@ -96,6 +96,23 @@ def test_traversal(spark):
     assert {(r["src"], r["dst"]) for r in graph.one_hop(edges, seeds).collect()} == {(a, b) for a, b in pairs if {a, b} & {"n1", "n2"}}
 
 
+def test_every_node_is_a_seed(spark):
+    rows = [("author::王", "r", "paper::p"), ("author::Zed", "r", "paper::p"), ("paper::p", "发表于", "journal::j"), ("journal::j", "r", "journal::j"), ("journal::j", "r", "x"), ("x", "r", "y")]
+    edges = spark.createDataFrame(rows, "src string, relation string, dst string")
+    touching = collections.Counter(r["node_id"] for r in graph.one_hop_each(edges).collect())
+    assert touching == {"author::王": 1, "author::Zed": 1, "paper::p": 3, "journal::j": 3, "x": 2, "y": 1}
+    got = {(r["seed"], r["node_id"]): r["depth"] for r in graph.k_hop_each(edges, 3).collect()}
+    want = {}
+    for node in touching:
+        at, seen = {node}, {node: 0}
+        for depth in (1, 2, 3):
+            at = {d for s, _, d in rows if s in at}
+            for n in at:
+                seen.setdefault(n, depth)
+        want |= {(node, n): d for n, d in seen.items()}
+    assert got == want and ("author::王", "y") not in got
+
+
 def test_degree_limited_equals_one_by_one(spark):
     rng = random.Random(7)
     rows = sorted({(f"a{rng.randrange(12)}", f"b{rng.randrange(12)}"): rng.randrange(4) for _ in range(60)}.items())
