@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,3 +235,85 @@ def degree_limited(candidates: DataFrame, cap: int = 2) -> DataFrame:
         left = left.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
         left = materialise(left.select("a", "b", "weight"))
     return taken if taken is not None else candidates.select("a", "b", "weight").limit(0)
+
+
+def bridge_gate(triples: DataFrame, papers: DataFrame, relations: tuple[str, ...], min_confidence: float = 0.75) -> DataFrame:
+    """The rows of ``(head, relation, tail, confidence, source_paper_ids)`` that may be bridges: an allowed relation,
+    enough confidence, two source papers, and two different ends that are both in ``papers (doc_uid)``."""
+    sources = F.array_distinct(F.filter(F.coalesce("source_paper_ids", F.array().cast("array<string>")), lambda p: p.isNotNull() & (p != "")))
+    passed = triples.filter(F.col("relation").isin(*relations) & (F.col("confidence") >= min_confidence) & (F.size(sources) >= 2) & (F.col("head") != F.col("tail")))
+    known = papers.select("doc_uid").distinct()
+    return passed.join(known.withColumnRenamed("doc_uid", "head"), "head", "left_semi").join(known.withColumnRenamed("doc_uid", "tail"), "tail", "left_semi")
+
+
+def _subsets(keys: Column, size: int) -> Column:
+    """All subsets of ``size`` elements of a sorted array of strings, each joined to one string."""
+    indexed = F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("at")))
+    found = F.transform(indexed, lambda x: F.struct(x["key"].alias("key"), x["at"].alias("at")))
+    for _ in range(size - 1):
+        found = F.flatten(
+            F.transform(found, lambda x: F.transform(F.filter(indexed, lambda y: y["at"] > x["at"]), lambda y: F.struct(F.concat_ws("\x1f", x["key"], y["key"]).alias("key"), y["at"].alias("at"))))
+        )
+    return F.transform(found, lambda x: x["key"])
+
+
+def _pair_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """New pairs ``(a, b)`` of ``(node, other, subset)``, subset by subset, until none can be added; a single task's work."""
+    rows = pd.concat([pd.DataFrame(columns=["node", "other", "subset"]), *frames]).sort_values(["subset", "node"])
+    links = {node: {other} if isinstance(other, str) else set() for node, other in zip(rows["node"], rows["other"])}
+    pairs = []
+    for _, members in rows.groupby("subset", sort=False)["node"]:
+        free = [n for n in members if len(links[n]) < 2]
+        while free:
+            node, passed = free.pop(), []
+            while free and len(links[node]) < 2:
+                mate = free.pop()
+                if mate not in links[node]:
+                    links[node].add(mate)
+                    links[mate].add(node)
+                    pairs.append((min(node, mate), max(node, mate)))
+                if len(links[mate]) < 2:
+                    passed.append(mate)
+            free += reversed(passed)
+    yield pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def overlap_bridges(papers: DataFrame, least: int = 2, in_one_task: int = 200_000) -> DataFrame:
+    """``(a, b, weight)`` of ``(node, keys)``: pairs that share at least ``least`` keys, heavy ones first, at most two per node.
+
+    Every pair of nodes is a candidate, but pairs are never listed: the nodes of
+    one subset of ``w`` keys are the pairs that share ``w``.  From the largest ``w``
+    down, nodes with a free place take the free subset that is first by hash, and
+    its nodes are paired, until no subset holds a pair that could be added.  So the
+    result is that of going through all pairs by weight, with ties in some order.
+    Once at most ``in_one_task`` rows are left of a size, one task ends it.  The work per node grows with the number of subsets of its keys."""
+    keys = papers.select("node", F.explode("keys").alias("key")).filter("node IS NOT NULL AND key IS NOT NULL").distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    nodes = keys.join(shared, "key", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    none = F.array().cast("array<struct<other:string,weight:int>>")
+    state = materialise(nodes.filter(F.size("keys") >= least).withColumn("links", none))
+    turn, size = 0, state.agg(F.max(F.size("keys"))).head()[0] or 0
+    # the ends of a pair are linked already if each is the other's only link
+    linked = (F.min("other") == F.min("node")) & (F.max("other") == F.max("node")) & (F.count("*") == 2)
+    while size >= least:
+        free = state.filter((F.size("links") < 2) & (F.size("keys") >= size)).select("node", F.get("links", F.lit(0))["other"].alias("other"), F.explode(_subsets(F.col("keys"), size)).alias("subset"))
+        opened = free.groupBy("subset").agg(F.count("*").alias("n"), linked.alias("linked")).filter("n > 1 AND NOT coalesce(linked, false)").select("subset")
+        weight = size
+        rows = materialise(free.join(opened, "subset"))
+        left = rows.count()
+        if left > in_one_task:
+            turn += 1
+            first = F.min_by("subset", F.struct(F.xxhash64("subset", F.lit(turn)), "subset")).alias("subset")
+            chosen = rows.groupBy("node", "other").agg(first).withColumn("key", F.xxhash64("node", F.lit(turn)))
+            placed = row_numbers(chosen, ["subset"], ["key", "node"])
+            pairs = placed.groupBy("subset", F.floor((F.col("rn") - 1) / 2).alias("p")).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"), linked.alias("linked"))
+            pairs = materialise(pairs.filter("n = 2 AND NOT coalesce(linked, false)").select("a", "b"))
+        else:
+            if left:
+                pairs = materialise(rows.select("node", "other", "subset").coalesce(1).mapInPandas(_pair_up, "a string, b string"))
+            size -= 1
+        if left:
+            ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("with")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("with")))
+            new = ends.groupBy("node").agg(F.transform(F.sort_array(F.collect_list("with")), lambda o: F.struct(o.alias("other"), F.lit(weight).alias("weight"))).alias("new"))
+            state = materialise(state.join(new, "node", "left").select("node", "keys", F.when(F.col("new").isNotNull(), F.concat("links", "new")).otherwise(F.col("links")).alias("links")))
+    return state.select(F.col("node").alias("a"), F.explode("links").alias("l")).select("a", F.col("l.other").alias("b"), F.col("l.weight").cast("bigint").alias("weight")).filter("a < b")

@@ -31,11 +31,20 @@ def detected_communities(spark, sf_dir):
     return communities.detect(_vectors(spark, sf_dir)).groupBy("community").agg(F.count("*").alias("members"))
 
 
+#: Relations of bridges; the first stands for two or more keywords in common.
+BRIDGE_RELATIONS = ("扩展", "对比", "复用")
+#: Confidence of a bridge that rests on common keywords; the gate's usual threshold of 0.75 admits none.
+OVERLAP_CONFIDENCE = 0.55
+
+
 def bridges(spark, sf_dir):
-    """Bridges between papers that share at least two keywords, at most two per paper."""
-    docs = corpus_docs(spark, sf_dir).select("doc_uid", "pos", T.split_keywords(F.col("keywords")).alias("keywords"))
-    pairs = graph.keyword_bridges(docs, per_batch=66).filter("shared >= 2")
-    return graph.degree_limited(materialise(pairs.select("a", "b", F.col("shared").alias("weight"))))
+    """Bridges between any two papers that share at least two keywords, at most two per paper, heavy ones first."""
+    docs = corpus_docs(spark, sf_dir).filter(T.trim(T.empty_if_null(F.col("title"))) != "")  # only such papers are nodes
+    papers = materialise(docs.select("doc_uid", F.transform(T.split_keywords(F.col("keywords")), F.lower).alias("keys")))
+    found = graph.overlap_bridges(papers.withColumnRenamed("doc_uid", "node"))
+    triples = found.select(F.col("a").alias("head"), F.lit(BRIDGE_RELATIONS[0]).alias("relation"), F.col("b").alias("tail"), F.lit(OVERLAP_CONFIDENCE).alias("confidence"), F.array("a", "b").alias("source_paper_ids"), "weight")
+    passed = graph.bridge_gate(triples, papers, BRIDGE_RELATIONS, OVERLAP_CONFIDENCE)
+    return passed.select(F.col("head").alias("a"), F.col("tail").alias("b"), "weight")
 
 
 def stratified_sample(spark, sf_dir):

@@ -127,6 +127,33 @@ def test_degree_limited_equals_one_by_one(spark):
     assert graph.degree_limited(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("in_one_task", [0, 60, 10_000])
+def test_overlap_bridges_consider_every_pair(spark, in_one_task):
+    rng = random.Random(3)
+    papers = {f"p{i:03}": sorted(rng.sample("abcdefgh", rng.randrange(1, 6))) for i in range(40)}
+    # beyond a batch of twelve, with different first keywords
+    papers |= {f"q{i:03}": ["hot", f"w{i}"] for i in range(30)} | {"q000": ["x1", "hot", "rare", "y"], "q029": ["x2", "rare", "y", "hot"], "none": []}
+    got = [(r["a"], r["b"], r["weight"]) for r in graph.overlap_bridges(spark.createDataFrame(list(papers.items()), "node string, keys array<string>"), in_one_task=in_one_task).collect()]
+    shared = {(a, b): len(set(papers[a]) & set(papers[b])) for a in papers for b in papers if a < b}
+    assert len({(a, b) for a, b, _ in got}) == len(got) and all(shared[a, b] == w >= 2 for a, b, w in got)
+    assert ("q000", "q029", 3) in got
+    # the same as one by one by weight, if the pairs taken come first among equals
+    taken, degree, want = {(a, b) for a, b, _ in got}, collections.Counter(), set()
+    for pair in sorted((p for p in shared if shared[p] >= 2), key=lambda p: (-shared[p], p not in taken, p)):
+        if max(degree[n] for n in pair) < 2:
+            degree.update(pair)
+            want.add(pair)
+    assert taken == want
+    assert graph.overlap_bridges(spark.createDataFrame([], "node string, keys array<string>")).count() == 0
+
+
+def test_bridge_gate(spark):
+    rows = [("a", "扩展", "b", 0.8, ["a", "b"]), ("a", "其他", "b", 0.8, ["a", "b"]), ("a", "扩展", "b", 0.7, ["a", "b"]), ("a", "扩展", "b", 0.9, ["a", "a", "", None]), ("a", "扩展", "a", 0.9, ["a", "b"]), ("a", "扩展", "z", 0.9, ["a", "z"]), ("b", "对比", "a", 0.75, ["b", "a"])]
+    frame = spark.createDataFrame(rows, "head string, relation string, tail string, confidence double, source_paper_ids array<string>")
+    passed = graph.bridge_gate(frame, spark.createDataFrame([("a",), ("b",)], "doc_uid string"), ("扩展", "对比"))
+    assert sorted((r["head"], r["tail"], r["confidence"]) for r in passed.collect()) == [("a", "b", 0.8), ("b", "a", 0.75)]
+
+
 def test_allocation():
     assert allocation.allocate({"a": 2, "b": 2, "c": 96}, 99) == {"a": 2, "b": 2, "c": 95}
     assert sum(allocation.allocate({k: 10 for k in "abcde"}, 3).values()) == 3
