@@ -201,8 +201,86 @@ def _repair_run(run: str, before: str, after: str, lossy: bool = False, depth: i
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
+#: Encodings meant by a whole field, besides UTF-8.
+_MEANT_FIELD = ("gbk", "big5", "shift_jis", "euc-kr", "euc-jp", "cp1251", "koi8-r", "cp866", "cp1252")
+#: A field's pair of encodings must take away this much of its cost, and leave at most this share.
+FIELD_DROP, FIELD_SHARE = 1.5, 0.4
+# Costs of Cyrillic letters by how common they are.
+_CYRILLIC = {**dict.fromkeys("оеаинтсрвлк", 0.15), **dict.fromkeys("мдпуяыьгзбії", 0.3)}
+_ACCENTED = re.compile("[À-ÖØ-öø-ÿ]{3,}")
+
+
+def _field_cost(text: str) -> float:
+    """Garbling cost of a field that also knows letter frequencies, case within words and symbols within words."""
+    total = garbling_cost(text) + sum(len(m) for m in _ACCENTED.findall(text))
+    for i, ch in enumerate(text):
+        kind = _char(ch)[1]
+        if kind == "c" and 0x410 <= ord(ch) <= 0x451:
+            total += _CYRILLIC.get(ch.lower(), 0.9) - 0.3
+            if ch.isupper() and i and _char(text[i - 1])[1] == "c":
+                total += 0.15 if text[i - 1].isupper() else 1.5
+        elif kind in "y-" and ord(ch) > 127 and ch not in "’‐·" and 0 < i < len(text) - 1 and text[i - 1].isascii() and text[i - 1].isalpha() and text[i + 1].islower() and text[i + 1].isascii():
+            total += 1.0
+    return total
+
+
+def _reread(text: str, wrong: str, meant: str) -> str | None:
+    """The field read as ``meant`` instead of ``wrong``: as a whole, else in the runs that can be."""
+    raw = _encode(text, wrong)
+    if raw is not None and (whole := _decode(raw, meant, False)) is not None:
+        return whole
+
+    def one(match: re.Match[str]) -> str:
+        run = _encode(match.group(), wrong)
+        found = _decode(run, meant, False) if run is not None else None
+        return found if found is not None and _field_cost(found) <= _field_cost(match.group()) else match.group()
+
+    return _RUN.sub(one, text)
+
+
+def _is_lettered(text: str) -> bool:
+    """Whether letters make up the text's non-ASCII part, and are some."""
+    kinds = [_char(c)[1] for c in text if ord(c) > 127]
+    letters = sum(k in "lchk" for k in kinds)
+    return letters >= 3 and 2 * letters >= len(kinds)
+
+
+def _field_pair(text: str) -> str | None:
+    """The field under the pair of encodings that makes it cheapest, if UTF-8 fits none of its runs."""
+    cost = _field_cost(text)
+    if cost < FIELD_DROP or _LOSS in text:
+        return None
+    for run in _RUN.findall(text):
+        for wrong in WRONG:
+            raw = _encode(run, wrong)
+            if raw is not None and (found := _decode(raw, "utf-8", False)) is not None and _field_cost(found) < _field_cost(run):
+                return None
+    best, least = None, min(cost - FIELD_DROP, cost * FIELD_SHARE)
+    for wrong in WRONG:
+        for meant in _MEANT_FIELD:
+            found = _reread(text, wrong, meant) if meant != wrong else None
+            if found is not None and found != text and _is_lettered(found) and (new := _field_cost(found)) < least:
+                best, least = found, new
+    return best
+
+
 def repair(text: str) -> tuple[str, int, bool]:
-    """The text with its garbled runs repaired, the layers taken off, and whether bytes are lost."""
+    """The text repaired, the layers taken off, and whether bytes are lost.
+
+    Pairs of legacy encodings are sought for the whole field, before and after its
+    runs are repaired one by one, so runs too short to show theirs go with the others."""
+    layers = 0
+    if not _pattern().search(text) and not _CASE.search(text):
+        return text, 0, _LOSS in text
+    if (found := _field_pair(text)) is not None:
+        text, layers = found, 1
+    text, more, lost = _repair_runs(text)
+    if more and (found := _field_pair(text)) is not None:
+        text, more = found, more + 1
+    return text, layers + more, lost
+
+
+def _repair_runs(text: str) -> tuple[str, int, bool]:
     suspicious = _pattern().search
     out, at, layers = [], 0, 0
     for match in _RUN.finditer(text):
@@ -286,6 +364,10 @@ def _pattern() -> re.Pattern[str]:
     return _suspects()
 
 
+#: Cyrillic in the case of another Cyrillic encoding, or a symbol within a word: garbled at the level of the field only.
+_CASE = re.compile("[а-яё][А-ЯЁ]{2}|[a-z][‰‹›†‡ˆ˜ŠŒŽ„][a-z]")
+
+
 _SCHEMA = "id bigint, field string, repaired string, layers int, lost boolean"
 
 
@@ -297,7 +379,7 @@ def _scan(names: list[str]):
             found: list[tuple] = []
             for k, name in enumerate(names):
                 for i, text in enumerate(batch.column(k + 1).to_pylist()):
-                    if text and not text.isascii() and search(text):
+                    if text and not text.isascii() and (search(text) or _CASE.search(text)):
                         fixed, layers, lost = repair(text)
                         if layers or lost:
                             found.append((ids[i].as_py(), name, fixed, layers, lost))

@@ -24,6 +24,18 @@ def test_repair_undoes_every_wrong_decoding():
     assert repair("研究".encode("gbk").decode("latin-1") * 3)[0] == "研究" * 3
 
 
+def test_legacy_pairs_of_a_field():
+    russian, chinese, plain = "Влияние обучения на результаты учащихся", "生成式人工智能赋能课堂教学机制", bytes.decode
+    for text, meant, wrong in (
+        (russian, "cp1251", "latin-1"), (russian, "koi8-r", "latin-1"), (russian, "cp1251", "cp437"), (chinese, "gbk", "cp437"), (chinese, "gbk", "cp850"), (chinese, "gbk", "mac-roman"), (chinese, "gbk", "koi8-r"),
+        ("學習者の批判的思考".replace("學", "学"), "shift_jis", "gb18030"), ("生成式人工智慧對課堂教學的影響", "big5", "gb18030"), ("Wie verändern Übungen die Qualität", "cp1252", "mac-roman"),
+    ):
+        assert repair(plain(text.encode(meant), wrong)) == (text, 1, False), (text, meant, wrong)
+    # short runs follow the field's pair, and nested layers end in a legacy encoding
+    assert repair("研究方法与设计 以 a 形".encode("gbk").decode("latin-1"))[0] == "研究方法与设计 以 a 形"
+    assert repair(chinese.encode("gbk").decode("latin-1").encode().decode("latin-1")) == (chinese, 2, False)
+
+
 def test_sound_texts_stay():
     for text in ("", "plain", "AVALIAÇÃO das funções", "¿Qué señal? Él «niño» ¡sí!", "部分文本曾出现“锟斤拷”一类字样", "骆翊、缪璟与霏", "Ελληνικά και русский", "naïve façade—œuvre", "3 × 4 ÷ 2 ± 1°", "猫と犬"):
         assert repair(text) == (text, 0, False), text
