@@ -253,6 +253,18 @@ def _given_typos(similar: DataFrame, degrees: DataFrame) -> DataFrame:
     return near.select("kind", F.col("a").alias("rest"), F.col("b").alias("to_rest"), (1 - 1 / F.length("a")).alias("rest_match"))
 
 
+def _typos_under_surname(similar: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(kind, rest, to_rest, rest_match)``: given names one edit from another that is over three times as frequent under
+    the same surnames, which hold most of the rarer one's occurrences.  All is relative, so the size of the table does not count."""
+    given = keys.filter("kind = 'author' AND script = 'l' AND rest <> ''").groupBy("core", "rest").agg(F.sum("n").alias("n"))
+    totals = given.groupBy("rest").agg(F.sum("n").alias("all_n"))
+    left = given.select("core", F.col("rest").alias("a"), F.col("n").alias("a_n"))
+    right = given.select("core", F.col("rest").alias("b"), F.col("n").alias("b_n"))
+    pairs = similar.filter("kind = 'author'").select("a", "b").join(left, "a").join(right, ["core", "b"]).groupBy("a", "b").agg(F.sum("a_n").alias("a_n"), F.sum("b_n").alias("b_n"))
+    rare = pairs.filter("b_n > 3 * a_n").join(totals.select(F.col("rest").alias("a"), "all_n"), "a").filter("2 * a_n > all_n")
+    return rare.select(F.lit("author").alias("kind"), F.col("a").alias("rest"), F.col("b").alias("to_rest"), (1 - 1 / F.length("a")).alias("rest_match"))
+
+
 def _links(keys: DataFrame, similar: DataFrame, aliases: DataFrame, typos: DataFrame) -> DataFrame:
     """``(kind, core, rest, dept, to_core, to_rest, to_dept)``: each reading's best more canonical reading."""
     id_cols = ["kind", "core", "rest", "dept"]
@@ -308,7 +320,7 @@ def name_variants(names: DataFrame, aliases: DataFrame) -> DataFrame:
     full = told.filter("rest IS NOT NULL OR script = 'h'").withColumn("rest", F.coalesce("rest", F.lit("")))
     keys = materialise(full.groupBy("kind", "script", "core", "rest", "dept").agg(F.sum("n").alias("n")))
     given_table = aliases.select(F.lower("short_form").alias("short_form"), F.lower("full_form").alias("full_form"))
-    typos = materialise(_given_typos(similar, degrees))
+    typos = materialise(_given_typos(similar, degrees).unionByName(_typos_under_surname(similar, keys)).distinct())
     alias_table = materialise(given_table.unionByName(_learned_aliases(keys, typos)).distinct())
     links = materialise(_links(keys.drop("script"), similar, alias_table, typos).select("kind", _key("core", "rest", "dept").alias("key"), _key("to_core", "to_rest", "to_dept").alias("to")))
     # follow the links: a short form of a misspelt name is at most a few steps from its root

@@ -30,6 +30,11 @@ def test_people(spark):
     assert not together & {"Oliver Tukalo", "S. Vedaro", "Vedaro Sam", "胡逸"}
 
 
+def test_rare_given_names_in_a_small_table(spark):
+    names = [("author", "Theodora Tukalo", 9), ("author", "Theodroa Tukalo", 1), ("author", "Marina Tukalo", 2), ("author", "Martina Tukalo", 2)]
+    assert entities(spark, names) == [("author", ["Theodora Tukalo", "Theodroa Tukalo"])]
+
+
 def test_organisations(spark):
     names = [("organ", n, 2) for n in (
         "University of Tukalo", "Tukalo Univ", "U. of Tukalo", "Tukalo, University of", "Tukalo Institute of Technology", "Institute of Technology, Tukalo", "Tukalo IT", "Univeristy of Tukalo", "Tukallo University",
