@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpusloom.llm.language import languages, plain_code, train
+from corpusloom.llm.language import languages, train
 from corpusloom.session import read
 
 
@@ -16,10 +15,8 @@ def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = p10_languages(spark, sf_dir)
-    labels = read(spark, sf_dir, "documents").select("doc_id", plain_code(F.col("lang")).alias("label"))
-    whole = found.filter("seg_no = 0").join(labels, "doc_id").filter("label IS NULL OR label <> lang")
-    return whole.select("doc_id", "seg_no", "lang").unionByName(found.filter("seg_no > 0").select("doc_id", "seg_no", "lang"))
+    """Documents whose label is missing or wrong, and all segments."""
+    return p10_languages(spark, sf_dir).filter("seg_no > 0 OR label IS NULL OR label <> lang").select("doc_id", "seg_no", "lang")
 
 
 QUERIES = {"p10_found": p10_found, "p10_languages": p10_languages}

@@ -2,25 +2,25 @@
 
 A byte convolutional network is trained in numpy: byte embeddings, filters of
 several widths, max pooling over a window of fixed length and a softmax.  It is
-fitted on sentences of known language and on a bounded sample of labelled
-documents (``DOCS_PER_LANGUAGE`` documents, ``WINDOWS_PER_DOC`` windows each).  As
-labels may be wrong, windows whose label the first fit contradicts are left out of
-the second.
+fitted on sentences of known language (at most ``SEEDS_PER_LANGUAGE``) and on a
+bounded sample of labelled documents (``DOCS_PER_LANGUAGE``), ``CUTS_PER_LANGUAGE``
+windows of each language.  As labels may be wrong, windows whose label the first
+fit contradicts are left out of the second.
 
 Every sentence and line of every document is cut into windows, which tasks classify
 in batches; a sentence's language has the highest mean log probability over its
-windows, among the languages written in its script.  A document's language is that
-of most of its characters; documents with whole sentences in several languages get
-a segment for each longest run of sentences in one language.
+windows.  A document's language is that of most of its characters; documents with
+whole sentences in several languages get a segment for each longest run of
+sentences in one language.
 
-Defined results: documents without letters, empty and null ones give no rows;
-lines that are no sentences count for the document's language, not for segments.
+Defined results: documents without letters, empty and null ones give no rows and
+train nothing; lines that are no sentences count for the document's language, not
+for segments; repeated rows are classified each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,8 @@ from corpusloom.session import spread
 LANGUAGES = ("zh", "en", "ja", "ko", "de", "fr", "es", "pt", "ru")
 WINDOW = 64
 DOCS_PER_LANGUAGE = 400
-WINDOWS_PER_DOC = 4
+SEEDS_PER_LANGUAGE = 200
+CUTS_PER_LANGUAGE = 1600
 _WIDTHS = (2, 3, 4, 5)
 _FILTERS = 16
 _EMBED = 8
@@ -75,10 +76,10 @@ class ByteConvNet:
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int, seed: int = 11, rate: float = 0.004) -> None:
-        """Adam on the cross entropy."""
+        """Adam on the cross entropy, its steps shrinking to nothing."""
         params = [self.embed, *self.filters, *self.bias, self.dense, self.offset]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        rng, step = np.random.default_rng(seed), 0
+        rng, step, steps = np.random.default_rng(seed), 0, epochs * -(-len(windows) // 128)
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for i in range(0, len(order), 128):
@@ -107,7 +108,7 @@ class ByteConvNet:
                 for q, g, m, v in zip(params, grads, first, second):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    q -= rate * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -121,57 +122,50 @@ def windows_of(text: str) -> np.ndarray:
     return raw[starts[:, None] + np.arange(WINDOW)]
 
 
-
-def script_classes(text: str) -> tuple[int, ...]:
-    """The languages written in the script of most of the text's letters; none without letters."""
-    kinds: Counter[str] = Counter()
-    for ch in text:
-        o = ord(ch)
-        if not ch.isalpha():
-            continue
-        if 0x3041 <= o <= 0x30FF:
-            kinds["kana"] += 1
-        elif 0x3400 <= o <= 0x9FFF or 0xF900 <= o <= 0xFAFF or o >= 0x20000:
-            kinds["han"] += 1
-        elif 0xAC00 <= o <= 0xD7A3 or 0x1100 <= o <= 0x11FF:
-            kinds["hangul"] += 1
-        elif 0x400 <= o <= 0x52F:
-            kinds["cyrillic"] += 1
-        else:
-            kinds["latin"] += 1
-    if not kinds:
-        return ()
-    east = kinds["han"] + kinds["kana"]
-    best = max((east, "east"), (kinds["hangul"], "hangul"), (kinds["cyrillic"], "cyrillic"), (kinds["latin"] / 4, "latin"))[1]
-    if best == "east":
-        return (2,) if kinds["kana"] * 8 >= east else (0, 2) if kinds["kana"] else (0,) if east < 4 else (0, 2)
-    return {"hangul": (3,), "cyrillic": (8,), "latin": (1, 4, 5, 6, 7)}[best]
-
-
 def plain_code(label: Column) -> Column:
     """The two-letter code of a label in any notation, or null."""
     code = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]{2})(?:[-_].*)?$", 1))
     return F.when(code.isin(*LANGUAGES), code)
 
 
-def training_windows(documents: DataFrame, seeds: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows, their languages, and which come from the seeds."""
-    labelled = documents.select("doc_id", plain_code(F.col("lang")).alias("code")).filter("code IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.withColumn("r", rank).filter(F.col("r") <= docs_per_language).select("doc_id", "code")
-    text = F.col("text")
-    at = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1 for i in range(WINDOWS_PER_DOC)]
-    parts = F.array_distinct(F.array(*[text.substr(a, F.lit(WINDOW)) for a in at]))
-    sampled = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("code", F.explode(parts).alias("part")).collect()
-    known = [(r["lang"], r["text"], True) for r in seeds.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").limit(10_000).collect()]
-    known = [x for x in known if x[0] in LANGUAGES]
+def _sample(rows: DataFrame, per_language: int) -> list[tuple[str, str]]:
+    """``(code, text)`` of at most ``per_language`` rows ``(key, code, text)`` per language, first by hash; none without a letter."""
+    usable = rows.filter(F.col("code").isin(*LANGUAGES) & F.col("text").rlike(r"\p{L}"))
+    rank = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("key"), "key"))
+    chosen = usable.select("key", "code").withColumn("r", rank).filter(F.col("r") <= per_language).select("key", "code")
+    found = usable.join(F.broadcast(chosen), ["key", "code"]).select("code", "text", "key").collect()
+    return [(r["code"], r["text"]) for r in sorted(found, key=lambda r: (r["code"], r["key"]))]
+
+
+def training_windows(documents: DataFrame, seeds: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, seeds_per_language: int = SEEDS_PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, their languages, and which come from the seeds.
+
+    Every language gets the same number of stretches (``CUTS_PER_LANGUAGE``), a
+    quarter of them from the seeds.  Each is used as it is, cut short, and with a
+    term from elsewhere put in, as short lines and foreign terms occur in documents too."""
+    rng = np.random.default_rng(5)
+    known = _sample(seeds.select(F.col("seed_no").alias("key"), F.col("lang").alias("code"), "text"), seeds_per_language)
+    labelled = _sample(documents.select(F.col("doc_id").alias("key"), plain_code(F.col("lang")).alias("code"), "text"), docs_per_language)
+    parts = []
+    for code in LANGUAGES:
+        sure, doubtful = ([t for c, t in rows if c == code] for rows in (known, labelled))
+        for i in range(CUTS_PER_LANGUAGE if sure or doubtful else 0):
+            seed = bool(sure) and (i % 4 == 0 or not doubtful)
+            text = sure[i // 4 % len(sure)] if seed else doubtful[i % len(doubtful)]
+            at = int(rng.integers(0, max(1, len(text) - WINDOW)))
+            parts.append((code, text[at : at + WINDOW], seed))
     cuts, labels, sure = [], [], []
-    for code, part, seed in [*known, *[(r["code"], r["part"], False) for r in sampled]]:
-        if not any(ch.isalpha() for ch in part):
-            continue
-        for window in windows_of(part) if seed else windows_of(part)[:2]:
-            for _ in range(4 if seed else 1):
-                cuts.append(window)
+    for code, part, seed in parts:
+        n = int(rng.integers(4, 24))
+        at = int(rng.integers(0, max(1, len(part) - n)))
+        short = part[at : at + n]
+        _, foreign, _ = parts[int(rng.integers(len(parts)))]
+        away = int(rng.integers(0, max(1, len(foreign) - n)))
+        term = foreign[away : away + 32].encode("utf-8", "replace")[: len(part[at : at + 2 * n].encode("utf-8", "replace"))].decode("utf-8", "ignore")
+        for text in (part, short, f"{short} {term} {part[at + n : at + 2 * n]}"):
+            if any(ch.isalpha() for ch in text):
+                windows = windows_of(text)
+                cuts.append(windows[int(rng.integers(len(windows)))])
                 labels.append(LANGUAGES.index(code))
                 sure.append(seed)
     if not cuts:
@@ -179,9 +173,9 @@ def training_windows(documents: DataFrame, seeds: DataFrame, docs_per_language:
     return np.stack(cuts), np.array(labels), np.array(sure)
 
 
-def train(documents: DataFrame, seeds: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteConvNet:
+def train(documents: DataFrame, seeds: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, seeds_per_language: int = SEEDS_PER_LANGUAGE) -> ByteConvNet:
     """The network, fitted twice: on all sampled windows, then without those it contradicts."""
-    windows, labels, sure = training_windows(documents, seeds, docs_per_language)
+    windows, labels, sure = training_windows(documents, seeds, docs_per_language, seeds_per_language)
     net = ByteConvNet()
     if len(windows):
         net.fit(windows, labels, epochs=2)
@@ -198,14 +192,16 @@ def _pieces(text: str) -> list[tuple[str, bool]]:
         piece = _LABEL.sub("", piece).strip()
         letters = sum(map(str.isalpha, piece))
         if letters:
-            out.append((piece, bool(_ENDS.search(piece)) and (letters >= 12 or (letters >= 5 and not piece.isascii()))))
+            # two words, or four characters of a script without spaces
+            worded = letters >= 4 and (len(piece.split()) > 1 or sum(ch >= "\u3040" and ch.isalpha() for ch in piece) >= 4)
+            out.append((piece, worded and bool(_ENDS.search(piece))))
     return out
 
 
-_FOUND = "doc_id bigint, seg_no int, lang string, confidence double, chars bigint"
+_FOUND = "doc_id bigint, label string, seg_no int, lang string, confidence double, chars bigint"
 
 
-def _document_rows(doc_id: int, pieces: list[tuple[str, bool]], scores: np.ndarray) -> list[tuple]:
+def _document_rows(doc_id: int, label: str | None, pieces: list[tuple[str, bool]], scores: np.ndarray) -> list[tuple]:
     """A row for the document and, if it is mixed, one for each segment."""
     chars = np.zeros(len(LANGUAGES))
     trust = np.zeros(len(LANGUAGES))
@@ -222,15 +218,15 @@ def _document_rows(doc_id: int, pieces: list[tuple[str, bool]], scores: np.ndarr
             else:
                 runs.append([best, len(piece), len(piece) * confidence])
     main = int(chars.argmax())
-    rows = [(doc_id, 0, LANGUAGES[main], float(trust[main] / chars[main] * chars[main] / chars.sum()), int(chars.sum()))]
+    rows = [(doc_id, label, 0, LANGUAGES[main], float(trust[main] / chars[main] * chars[main] / chars.sum()), int(chars.sum()))]
     if len({r[0] for r in runs}) > 1:
-        rows += [(doc_id, i + 1, LANGUAGES[b], t / n, n) for i, (b, n, t) in enumerate(runs)]
+        rows += [(doc_id, label, i + 1, LANGUAGES[b], t / n, n) for i, (b, n, t) in enumerate(runs)]
     return rows
 
 
 def _classify(net: ByteConvNet):
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[int, list]] = []
+        waiting: list[tuple[int, str | None, list]] = []
         windows: list[np.ndarray] = []
         counts: list[int] = []
         held = 0
@@ -244,26 +240,19 @@ def _classify(net: ByteConvNet):
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
             means = np.add.reduceat(logs, starts, axis=0) / np.array(counts)[:, None]
             rows, at = [], 0
-            for doc_id, pieces in waiting:
-                scores = means[at : at + len(pieces)]
+            for doc_id, label, pieces in waiting:
+                rows += _document_rows(doc_id, label, pieces, means[at : at + len(pieces)])
                 at += len(pieces)
-                for (piece, _), score in zip(pieces, scores):
-                    allowed = script_classes(piece)
-                    score[[k for k in range(len(LANGUAGES)) if k not in allowed]] = -1e3
-                rows += _document_rows(doc_id, pieces, scores)
-            columns = list(zip(*rows))
             waiting, windows, counts, held = [], [], [], 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int64())],
-                names=["doc_id", "seg_no", "lang", "confidence", "chars"],
-            )
+            types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows), types)], names=["doc_id", "label", "seg_no", "lang", "confidence", "chars"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
                 pieces = _pieces(text) if text else []
                 if not pieces:
                     continue
-                waiting.append((doc_id, pieces))
+                waiting.append((doc_id, label, pieces))
                 for piece, _ in pieces:
                     cut = windows_of(piece)
                     windows.append(cut)
@@ -277,5 +266,8 @@ def _classify(net: ByteConvNet):
 
 
 def languages(documents: DataFrame, net: ByteConvNet) -> DataFrame:
-    """``(doc_id, seg_no, lang, confidence, chars)``: 0 for the document, 1, 2, ... for the segments of mixed ones."""
-    return spread(documents.select("doc_id", "text")).mapInArrow(_classify(net), _FOUND)
+    """``(doc_id, label, seg_no, lang, confidence, chars)``: 0 for the document, 1, 2, ... for the segments of mixed ones.
+
+    ``label`` is the code the document's own label stands for, null if it is none."""
+    texts = documents.select("doc_id", plain_code(F.col("lang")).alias("label"), "text")
+    return spread(texts).mapInArrow(_classify(net), _FOUND)
