@@ -71,7 +71,7 @@ class ByteConvNet:
         return np.concatenate(pooled, axis=1), caches
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
-        logits = self._pooled(windows)[0] @ self.dense + self.offset
+        logits = np.concatenate([self._pooled(windows[i : i + _BATCH])[0] for i in range(0, len(windows), _BATCH)]) @ self.dense + self.offset
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
@@ -128,13 +128,23 @@ def plain_code(label: Column) -> Column:
     return F.when(code.isin(*LANGUAGES), code)
 
 
-def _sample(rows: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """``(code, text)`` of at most ``per_language`` rows ``(key, code, text)`` per language, first by hash; none without a letter."""
+def _cuts(rows: DataFrame, per_language: int, cuts: int) -> dict[str, list[str]]:
+    """``cuts`` stretches of at most ``WINDOW`` characters for each language, from anywhere in the texts of at most
+    ``per_language`` rows ``(key, code, text)``, those first by hash; rows without a letter count for nothing."""
     usable = rows.filter(F.col("code").isin(*LANGUAGES) & F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("key"), "key"))
-    chosen = usable.select("key", "code").withColumn("r", rank).filter(F.col("r") <= per_language).select("key", "code")
-    found = usable.join(F.broadcast(chosen), ["key", "code"]).select("code", "text", "key").collect()
-    return [(r["code"], r["text"]) for r in sorted(found, key=lambda r: (r["code"], r["key"]))]
+    chosen = usable.select("key", "code").withColumn("r", rank).filter(F.col("r") <= per_language)
+    chosen = chosen.withColumn("n", F.count("*").over(Window.partitionBy("code")))
+    start = F.pmod(F.xxhash64("key", "r", "i"), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
+    found = (
+        usable.join(F.broadcast(chosen), ["key", "code"])
+        .select("code", "r", "key", "text", "n", F.explode(F.sequence(F.lit(0), F.floor((cuts - 1) / F.col("n")))).alias("i"))
+        .select("code", "r", "i", F.col("text").substr(start, F.lit(WINDOW)).alias("part")).collect()
+    )
+    parts: dict[str, list[str]] = {}
+    for row in sorted(found, key=lambda row: (row["i"], row["r"], row["part"])):
+        parts.setdefault(row["code"], []).append(row["part"])
+    return {code: texts[:cuts] for code, texts in parts.items()}
 
 
 def training_windows(documents: DataFrame, seeds: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, seeds_per_language: int = SEEDS_PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,16 +154,14 @@ def training_windows(documents: DataFrame, seeds: DataFrame, docs_per_language:
     quarter of them from the seeds.  Each is used as it is, cut short, and with a
     term from elsewhere put in, as short lines and foreign terms occur in documents too."""
     rng = np.random.default_rng(5)
-    known = _sample(seeds.select(F.col("seed_no").alias("key"), F.col("lang").alias("code"), "text"), seeds_per_language)
-    labelled = _sample(documents.select(F.col("doc_id").alias("key"), plain_code(F.col("lang")).alias("code"), "text"), docs_per_language)
+    known = _cuts(seeds.select(F.col("seed_no").alias("key"), F.col("lang").alias("code"), "text"), seeds_per_language, CUTS_PER_LANGUAGE)
+    labelled = _cuts(documents.select(F.col("doc_id").alias("key"), plain_code(F.col("lang")).alias("code"), "text"), docs_per_language, CUTS_PER_LANGUAGE)
     parts = []
     for code in LANGUAGES:
-        sure, doubtful = ([t for c, t in rows if c == code] for rows in (known, labelled))
-        for i in range(CUTS_PER_LANGUAGE if sure or doubtful else 0):
-            seed = bool(sure) and (i % 4 == 0 or not doubtful)
-            text = sure[i // 4 % len(sure)] if seed else doubtful[i % len(doubtful)]
-            at = int(rng.integers(0, max(1, len(text) - WINDOW)))
-            parts.append((code, text[at : at + WINDOW], seed))
+        own = labelled.get(code, [])
+        share = CUTS_PER_LANGUAGE // 4 if own else CUTS_PER_LANGUAGE
+        parts += [(code, text, True) for text in known.get(code, [])[:share]]
+        parts += [(code, text, False) for text in own[: CUTS_PER_LANGUAGE - share if code in known else CUTS_PER_LANGUAGE]]
     cuts, labels, sure = [], [], []
     for code, part, seed in parts:
         n = int(rng.integers(4, 24))
@@ -236,7 +244,7 @@ def _classify(net: ByteConvNet):
             if not counts:
                 return
             stacked = np.concatenate(windows)
-            logs = np.concatenate([net.log_probabilities(stacked[i : i + _BATCH]) for i in range(0, len(stacked), _BATCH)])
+            logs = net.log_probabilities(stacked)
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
             means = np.add.reduceat(logs, starts, axis=0) / np.array(counts)[:, None]
             rows, at = [], 0
