@@ -9,21 +9,34 @@ Each pair gets at most one defect:
                question does not ask for
 ``truncated``  breaks off
 
-Shortened answers are found by sorting: all sentences of all answers, digits
-folded, are sorted by text and each unfinished last sentence is compared with its
-next complete neighbour.  All texts with a given prefix follow it directly, so one
-comparison decides whether a longer version exists.  The sort is by range, each
-task walks its own range, and what a range leaves open is settled with the first
-complete text of the next one.  Answers that stop at a length at which unfinished
-answers pile up (a length limit) are cut as well.
+Shortened answers are found by sorting: all responses, and all their sentences with
+the digits folded, are sorted by text, and each is compared with its neighbours.
+A text that another one continues follows directly before it, and a text that
+shares its opening with others stands beside the one it shares most with.  The sort
+is by range; each task walks its own range, and the ends of ranges are compared
+with the ends of the next ones.  Evidence is added up (``ENOUGH`` points make a
+truncation):
+
+* an unfinished last sentence that another text continues, or that shares
+  ``MIN_OPENING`` characters with a neighbour, unless the same text also stands
+  complete elsewhere (2 points);
+* a response of several sentences that a longer response continues, also where it
+  was cut at the end of a sentence (2 points);
+* a length at which more answers end than at the lengths around it, most of them
+  unfinished: a length limit (1 point);
+* an ellipsis, or the bare number of a next item (2 points); a hanging comma, colon
+  or dash, an unclosed bracket (1 point each).
 
 Defined results: a null answer is empty; a null question takes part in no copy or
-language rule; short answers without a final mark and lists are sound.
+language rule; short answers without a final mark and lists are sound; repeated
+pairs are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,28 +54,32 @@ LABELS = r"(?:答案|回答|答复|答|answer|ans|a|réponse|reponse|respuesta|r
 _LABEL = rf"(?i)^\s*{LABELS}\s*[:：]\s*"
 _QUESTION_LABEL = r"(?i)^\s*(?:您的问题是|你的问题是|您问的是|你问的是|问题|题目|提问|关于|问|the question is|your question is|question|q|frage|pregunta|pergunta|質問|질문|вопрос)\s*[:：]?\s*"
 
-# Ways to decline, by language.
-REFUSALS = [
-    r"(?:抱歉|对不起|很遗憾|遗憾的是).{0,40}(?:无法|不能|不便|没有办法|未能)",
-    r"作为.{0,12}(?:语言模型|人工智能|AI|助手|机器人).{0,20}(?:无法|不能|不便|没有|不)",
-    r"根据(?:现有|当前|所给|提供的).{0,16}(?:无法|不能|难以)(?:确定|回答|给出|判断|得出)",
-    r"^(?:我|助手|本系统|系统|本助手).{0,6}(?:无法|不能|不便)(?:回答|对此|给出|提供|确定|判断)",
-    r"(?:资料|上下文|检索内容|材料|信息)不足.{0,12}(?:无法|不能)",
-    r"(?i)\b(?:i['’]m |i am )?(?:very )?(?:sorry|afraid)\b.{0,60}(?:can['’]?t|cannot|can not|unable|not able|won['’]t)",
-    r"(?i)\bas an? (?:ai |large )?(?:language model|assistant|ai)\b.{0,60}(?:can['’]?t|cannot|unable|not able)",
-    r"(?i)\bi (?:must|have to|need to) (?:decline|refuse)\b|\bi (?:decline|refuse) to\b",
-    r"(?i)\bi(?:['’]m| am)? (?:can['’]?t|cannot|unable to|not able to|do not|don['’]t) (?:answer|help|know|determine|respond|provide|have)\b",
-    r"(?i)\bunfortunately\b.{0,30}\b(?:i|we)\b.{0,10}(?:can['’]?t|cannot|could not|couldn['’]t|unable)",
-    r"(?i)does not (?:contain|provide|include|have) (?:enough|sufficient|any)? ?(?:information|evidence|context|details)\b.{0,60}(?:answer|question|determin|given)",
-    r"(?i)\bno answer can be given\b",
-    r"申し訳(?:ありません|ございません).{0,40}(?:できません|できかねます|お答え)|お答え(?:する)?(?:ことは|は)?(?:できません|できかねます)",
-    r"(?i)\b(?:leider|entschuldigung|tut mir leid)\b.{0,50}\bnicht\b.{0,25}(?:beantworten|helfen|sagen|antworten)|\bkann ich diese frage nicht\b",
-    r"(?i)\b(?:désolée?|je regrette|malheureusement)\b.{0,40}(?:ne peux|ne puis|impossible|ne suis pas)",
-    r"(?i)\b(?:lo siento|lamentablemente|perdón)\b.{0,40}no (?:puedo|me es posible|dispongo)",
-    r"(?i)\b(?:desculpe|sinto muito|lamento|infelizmente)\b.{0,40}não (?:posso|consigo)",
-    r"(?i)(?:извините|простите|к сожалению).{0,40}(?:не могу|не можем|невозможно)",
-    r"(?:죄송|유감).{0,30}(?:없습니다|못합니다|어렵습니다)",
-]
+# Ways to decline, by script; matched in lower case.
+_ZH_CANNOT = "(?:无法|不能|不便|未能|难以|没有办法|没办法|不予|恕不|拒绝)"
+_ZH_ANSWER = "(?:回答|作答|答复|解答|给出|提供|判断|确定|得出|协助|帮助|回应)"
+_ZH_SELF = "(?:我|助手|本系统|系统|本助手|本模型)"
+_EN_CANNOT = "(?:can['’]?t|cannot|can not|could not|couldn['’]t|unable|not able|won['’]t)"
+REFUSALS = {
+    r"\p{IsHan}": [
+        f"(?:抱歉|对不起|很遗憾|遗憾的是|不好意思).{{0,40}}(?:{_ZH_CANNOT}|超出)", "(?:问题|请求|要求).{0,4}超出.{0,12}(?:范围|能力|权限)",
+        f"作为.{{0,12}}(?:语言模型|人工智能|ai|助手|机器人).{{0,20}}(?:{_ZH_CANNOT}|不)", f"^{_ZH_SELF}.{{0,6}}{_ZH_CANNOT}(?:对此)?{_ZH_ANSWER}", f"^{_ZH_SELF}.{{0,6}}{_ZH_CANNOT}对此",
+        f"根据(?:现有|当前|所给|提供的|已有).{{0,16}}{_ZH_CANNOT}{_ZH_ANSWER}", f"(?:资料|上下文|检索内容|材料|信息)不足.{{0,12}}{_ZH_CANNOT}",
+        f"(?:没有|未找到|未检索到|找不到|缺乏|缺少|未提供).{{0,6}}(?:信息|依据|内容|资料|证据|答案).{{0,12}}{_ZH_CANNOT}{_ZH_ANSWER}",
+        "申し訳(?:ありません|ございません).{0,40}(?:できません|できかねます|お答え)", "(?:お答え|回答)(?:する)?(?:ことは|は|を)?(?:できません|できかねます|致しかねます|控え|差し控え)",
+    ],
+    r"\p{IsLatin}": [
+        rf"\b(?:sorry|afraid|unfortunately|apologi[sz]e)\b.{{0,60}}\b(?:{_EN_CANNOT}|outside|beyond)", rf"\bas an? (?:ai |large )?(?:language model|assistant|ai)\b.{{0,60}}{_EN_CANNOT}",
+        r"\bi (?:must |have to |need to )?(?:decline|refuse)\b", r"\bi(?:['’]m| am)? (?:can['’]?t|cannot|unable to|not able to|do not|don['’]t) (?:answer|help|know|determine|respond|provide|have)\b",
+        r"\bdo(?:es)? not (?:contain|provide|include|have|give) (?:enough |sufficient |any |the )?(?:relevant )?(?:information|evidence|context|details)\b.{0,60}(?:answer|question|determin|given)",
+        r"\bno answer can be given\b", r"\bquestion cannot be answered\b", r"\b(?:outside|beyond) (?:my|the scope of (?:this|the) (?:assistant|system))\b",
+        r"\b(?:leider|entschuldigung|tut mir leid)\b.{0,50}\bnicht\b.{0,25}(?:beantworten|helfen|sagen|antworten)", r"\b(?:ich|sich)\b.{0,20}\b(?:das|dies|diese frage)\b.{0,8}\bnicht beantworten\b", r"\bkann ich diese frage nicht\b",
+        r"\b(?:désolée?|je regrette|malheureusement)\b.{0,40}(?:ne peux|ne puis|impossible|ne suis pas)", r"\b(?:ne permet(?:tent)?|ne suffi(?:t|sent)) pas (?:de|d['’]|à|pour) ?(?:y )?répondre\b", r"\b(?:impossible|pas possible) (?:de|d['’]) ?(?:y )?répondre\b",
+        r"\b(?:lo siento|lamentablemente|perdón)\b.{0,40}no (?:puedo|me es posible|dispongo)", r"\bno (?:permiten?|es posible|se puede) responder\b",
+        r"\b(?:desculpe|sinto muito|lamento|infelizmente)\b.{0,40}não (?:posso|consigo)", r"\bnão (?:permitem?|é possível|se pode) responder\b",
+    ],
+    r"\p{IsCyrillic}": ["(?:извините|простите|к сожалению).{0,40}(?:не могу|не можем|невозможно)", "(?:невозможно|не позволяют|не позволяет) ответить"],
+    r"\p{IsHangul}": ["(?:죄송|유감).{0,30}(?:없습니다|못합니다|어렵습니다)", "(?:답변|대답)(?:할 수|드릴 수|하기).{0,4}(?:없|어렵)"],
+}
 
 # Frequent function words of the languages in Latin script.
 FUNCTION_WORDS = {
@@ -88,7 +105,17 @@ ASKED = {
 _END = r"[。．.!！?？｡]"
 _CLOSERS = r"[”\"'’」』）)\]】》»›\s]"
 _NUMBERING = r"^\s*(?:[0-9]+\s*[.、)）]|[-*•·])\s*"
-MIN_SPIKE = 10
+_ELLIPSIS = rf"(?:…|\.\.\.|。。。){_CLOSERS}*$"
+_NEXT_ITEM = r"(?:^|[；;：:，,、\s])[0-9]+[.、)）]$"
+_BRACKETS = (("（(", "）)"), ("【\\[", "】\\]"), ("《", "》"), ("“", "”"), ("「", "」"), ("«", "»"))
+#: Characters a sentence shares with a neighbour where it is more than a term.
+MIN_OPENING = 8
+#: Points that make a truncation.
+ENOUGH = 2
+#: Standard deviations by which a length limit stands out, and the least share of unfinished answers there.
+SPIKE_DEVIATIONS, SPIKE_SHARE = 6.0, 0.8
+#: Share of its characters in which a repeated question may differ from the question.
+COPY_EDITS = 0.1
 
 
 def _bare(text: Column) -> Column:
@@ -97,31 +124,41 @@ def _bare(text: Column) -> Column:
 
 
 def _count(text: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
 
 
-def language_of(text: Column) -> Column:
-    """Language by script, and by function words within Latin script; null if unclear.
+def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the language of a text, null if unclear: by script, and by function words within Latin script.
 
     Latin letters count a fifth: one word against one character of the others."""
-    han, kana = _count(text, r"\p{IsHan}"), _count(text, r"\p{IsHiragana}\p{IsKatakana}")
-    hangul, cyrillic, latin = _count(text, r"\p{IsHangul}"), _count(text, r"\p{IsCyrillic}"), _count(text, r"\p{IsLatin}") / 5
-    lowered = F.lower(text)
-    hits = [
-        F.struct(F.size(F.regexp_extract_all(lowered, F.lit(rf"(?<![\p{{L}}])(?:{'|'.join(words.split())})(?![\p{{L}}])"), F.lit(0))).alias("n"), F.lit(lang).alias("lang"))
-        for lang, words in FUNCTION_WORDS.items()
-    ]
-    ranked = F.reverse(F.array_sort(F.array(*hits)))
-    best, second = ranked[0], ranked[1]
-    by_words = F.when((best["n"] >= 2) & (best["n"] > second["n"]), best["lang"])
-    most = F.greatest(han + kana, hangul, cyrillic, latin)
-    return (
-        F.when(most <= 0, None)
-        .when((han + kana == most), F.when(kana * 10 >= han + kana, "ja").otherwise("zh"))
-        .when(hangul == most, "ko")
-        .when(cyrillic == most / 1.0, "ru")
-        .otherwise(by_words)
-    )
+    t = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"_words": F.split(F.lower(t), r"[^\p{L}]+"), "_east": _count(t, r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"), "_kana": _count(t, r"\p{IsHiragana}\p{IsKatakana}"),
+                         "_hangul": _count(t, r"\p{IsHangul}"), "_cyrillic": _count(t, r"\p{IsCyrillic}"), "_latin": _count(t, r"\p{IsLatin}") / 5})
+    df = df.withColumn("_most", F.greatest("_east", "_hangul", "_cyrillic", "_latin"))
+    count = lambda words: F.size(F.filter("_words", lambda w: w.isin(*words.split())))
+    hits = [F.struct(count(words).alias("n"), F.lit(lang).alias("lang")) for lang, words in FUNCTION_WORDS.items()]
+    df = df.withColumn("_hits", F.when((F.col("_latin") > 0) & (F.col("_latin") == F.col("_most")), F.reverse(F.array_sort(F.array(*hits)))))
+    best, second = F.col("_hits")[0], F.col("_hits")[1]
+    language = (
+        F.when(F.col("_most") <= 0, None)
+        .when(F.col("_east") == F.col("_most"), F.when(F.col("_kana") * 10 >= F.col("_east"), "ja").otherwise("zh"))
+        .when(F.col("_hangul") == F.col("_most"), "ko").when(F.col("_cyrillic") == F.col("_most"), "ru")
+        .when((best["n"] >= 2) & (best["n"] > second["n"]), best["lang"])
+    )
+    return df.withColumn(out, language).drop("_words", "_east", "_kana", "_hangul", "_cyrillic", "_latin", "_most", "_hits")
+
+
+def is_refusal(answer: Column) -> Column:
+    """Whether a text declines: the patterns of a script are only tried on texts that hold it."""
+    lowered = F.lower(answer)
+    return reduce(lambda a, b: a | b, [lowered.rlike(script) & lowered.rlike("|".join(patterns)) for script, patterns in REFUSALS.items()])
+
+
+def is_copy(question: Column, body: Column) -> Column:
+    """Whether an answer is the question once or several times, with or without a label before it, or the question in hardly other words."""
+    asked, told = _bare(question), _bare(F.regexp_replace(body, _QUESTION_LABEL, ""))
+    again = body.rlike(rf"[?？]{_CLOSERS}*$") & (F.levenshtein(told, asked, 20) >= 0) & (F.levenshtein(told, asked) <= COPY_EDITS * F.length(asked))
+    return (asked != "") & ((F.replace(_bare(body), asked, F.lit("")) == "") | (F.replace(told, asked, F.lit("")) == "") | again)
 
 
 def _is_full(text: Column) -> Column:
@@ -132,7 +169,7 @@ def _is_full(text: Column) -> Column:
 def _sentences(text: Column) -> Column:
     """Sentences and lines, each with its closing mark; a line break closes a line."""
     marked = F.regexp_replace(text, r"\s*\n\s*", "\ue000")
-    pieces = F.split(marked, "(?<=[。！？!?｡])(?![”\"'’」』）)\\]】》»])|(?<=[。！？!?｡][”\"'’」』）)\\]】》»])|(?<=[.])\\s+|(?<=\ue000)")
+    pieces = F.split(marked, "(?<=[。！？!?｡])(?![”\"'’」』）)\\]】》»])|(?<=[。！？!?｡][”\"'’」』）)\\]】》»])|(?<=[^0-9][.])\\s+|(?<=\ue000)")
     return F.filter(F.transform(pieces, lambda p: F.regexp_replace(F.trim(p), _NUMBERING, "")), lambda p: (p != "") & (p != "\ue000"))
 
 
@@ -145,110 +182,111 @@ def _core(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\ue000$", ""), rf"(?:{_END}|{_CLOSERS}|…)+$", "")
 
 
-_WALK = "kind string, text string, pid int, longer boolean"
+_WALK = "text string, pid int, wanted boolean, opening int, longer boolean, edge boolean"
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over one range in falling order: has an unfinished text a complete longer one behind it?"""
-    following: str | None = None
-    pid = 0
-    for batch in batches:
-        out: list[tuple[str, str, bool | None]] = []
-        for text, is_complete, is_tail, pid in zip(*(batch.column(c).to_pylist() for c in ("text", "complete", "tail", "pid"))):
-            if is_tail:
-                out.append(("tail", text, None if following is None else following.startswith(text)))
-            if is_complete:
-                following = text
-        yield _found(out, pid)
-    if following is not None:
-        yield _found([("first", following, None)], pid)
-
-
-def _found(rows: list[tuple[str, str, bool | None]], pid: int) -> pa.RecordBatch:
-    kinds, texts, longer = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array([pid] * len(rows), pa.int32()), pa.array(longer, pa.bool_())], names=["kind", "text", "pid", "longer"])
+    """Over one range in rising order: what each text shares with its neighbours, and whether the next one continues it.
 
-
-def shortened(fragments: DataFrame) -> DataFrame:
-    """``(text, longer)`` of the ``tail`` rows of ``(text, complete, tail)``: does a complete text continue it?"""
-    ranged = fragments.repartitionByRange(F.col("text")).sortWithinPartitions(F.desc("text")).select("text", "complete", "tail", F.spark_partition_id().alias("pid"))
+    The first and the last text of the range are given back as edges in any case."""
+    before = None  # the text before: (text, pid, wanted, shared with its own predecessor)
+    first = True
+    for batch in batches:
+        out = []
+        for text, wanted, pid in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted", "pid"))):
+            shared = 0
+            if before is not None:
+                shared = len(commonprefix((before[0], text)))
+                if before[2] or first:
+                    out.append((before[0], before[1], before[2], max(before[3], shared), text.startswith(before[0]), first))
+                first = False
+                if shared == len(before[0]):  # a text that is over does not share an opening, it is continued
+                    shared = 0
+            before = (text, pid, wanted, shared)
+        yield _walked(out)
+    if before is not None:
+        yield _walked([(*before, None, True)])
+
+
+def _walked(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.bool_(), pa.bool_())
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["text", "pid", "wanted", "opening", "longer", "edge"])
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two texts."""
+    n = F.least(F.length(a), F.length(b))
+    return F.when(n > 0, F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), n), lambda i: a.substr(i, F.lit(1)) != b.substr(i, F.lit(1)))) - 1, n)).otherwise(0)
+
+
+def neighbours(texts: DataFrame) -> DataFrame:
+    """``(text, opening, longer)`` of the wanted rows of distinct ``(text, wanted)``, compared with their neighbours in order:
+    the characters shared with the closer one where it goes on otherwise or further, and whether one continues the text."""
+    ranged = texts.repartitionByRange(F.col("text")).sortWithinPartitions("text").select("text", "wanted", F.spark_partition_id().alias("pid"))
     walked = materialise(ranged.mapInArrow(_walk, _WALK))
-    firsts = walked.filter("kind = 'first'").select("pid", F.col("text").alias("first"))  # a row per range
-    nexts = firsts.select("pid", "first").orderBy("pid")
-    open_tails = walked.filter("kind = 'tail'")
-    behind = (
-        open_tails.filter("longer IS NULL").select("pid").distinct().alias("o").join(F.broadcast(nexts).alias("n"), F.col("n.pid") > F.col("o.pid"))
-        .groupBy(F.col("o.pid").alias("pid")).agg(F.min_by("first", F.col("n.pid")).alias("first"))
-    )
-    return open_tails.join(F.broadcast(behind), "pid", "left").select("text", F.coalesce("longer", F.col("first").startswith(F.col("text")), F.lit(False)).alias("longer"))
+    # the ends of the ranges: two rows of each, so this window sees few rows
+    order = Window.orderBy("pid", "text")
+    ends = walked.filter("edge").withColumns({"prev": F.lag("text").over(order), "next": F.lead("text").over(order), "p_pid": F.lag("pid").over(order), "n_pid": F.lead("pid").over(order)})
+    before = F.when((F.col("p_pid") != F.col("pid")) & (~F.col("text").startswith(F.col("prev"))), _shared(F.col("prev"), F.col("text")))
+    after = F.when(F.col("n_pid") != F.col("pid"), _shared(F.col("text"), F.col("next")))
+    settled = ends.filter("wanted").select("text", F.greatest("opening", F.coalesce(before, F.lit(0)), F.coalesce(after, F.lit(0))).alias("opening"), F.coalesce("longer", (F.col("n_pid") != F.col("pid")) & F.col("next").startswith(F.col("text")), F.lit(False)).alias("longer"))
+    return walked.filter("wanted AND NOT edge").select("text", "opening", "longer").unionByName(settled)
+
+
+def length_limits(lengths: DataFrame) -> DataFrame:
+    """The ``len`` of ``(len, n, cut)`` at which answers pile up, most of them cut, against the five lengths on either side."""
+    near = lengths.select(F.explode(F.sequence(F.col("len") - 5, F.col("len") + 5)).alias("len"), (F.col("len")).alias("of"), "n").filter("len <> of").groupBy("len").agg((F.sum("n") / 10).alias("around"))
+    both = lengths.join(near, "len", "left").withColumn("around", F.coalesce("around", F.lit(0.0)))
+    return both.filter((F.col("n") > F.col("around") + SPIKE_DEVIATIONS * F.sqrt(F.col("around") + 1)) & (F.col("cut") >= SPIKE_SHARE * F.col("n"))).select("len")
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Every pair with its body and the first of the defects that its own text shows."""
+    body = F.trim(F.regexp_replace(F.coalesce(F.col("answer"), F.lit("")), _LABEL, ""))
+    rows = pairs.select("tab", "pair_id", "question", F.coalesce("answer", F.lit("")).alias("answer"), body.alias("body"))
+    bare, whole = _bare(F.col("body")), _bare(F.col("answer"))
+    empty = (bare == "") | bare.isin(*PLACEHOLDERS) | whole.isin(*PLACEHOLDERS, *["答", "回答", "答案", "answer", "ans", "respuesta", "resposta", "réponse", "antwort", "ответ", "답변", "response"])
+    rows = rows.withColumn("defect", F.when(empty, "empty").when(is_refusal(F.col("answer")), "refusal").when(is_copy(F.col("question"), F.col("body")), "copy"))
+    rows = with_language(with_language(rows, "question", "q_lang"), "body", "a_lang")
+    lowered = F.lower("question")
+    wanted = reduce(lambda a, b: a | b, [(F.col("a_lang") == lang) & lowered.rlike(names) for lang, names in ASKED.items()])
+    other = (F.col("q_lang") != F.col("a_lang")) & _is_full(F.col("body")) & ~wanted
+    rows = rows.withColumn("defect", F.coalesce("defect", F.when(F.coalesce(other, F.lit(False)), "language")))
+    text = F.col("body")
+    ended = text.rlike(rf"(?:{_END}|[）)\]】》」』]){_CLOSERS}*$") & ~text.rlike(_ELLIPSIS) & ~text.rlike(_NEXT_ITEM)
+    return rows.select("tab", "pair_id", "defect", "body", F.when(F.col("defect").isNull(), _sentences(text)).alias("sentences"), ended.alias("ended"))
 
 
 def flag_defects(pairs: DataFrame) -> DataFrame:
     """``(tab, pair_id, defect)`` of the defective rows of ``(tab, pair_id, question, answer)``."""
-    answer, question = F.coalesce(F.col("answer"), F.lit("")), F.col("question")
-    body = F.regexp_replace(answer, _LABEL, "")
-    bare = _bare(body)
-    empty = (bare == "") | bare.isin(*PLACEHOLDERS) | _bare(answer).isin(*PLACEHOLDERS, *["答", "回答", "答案", "answer", "ans", "respuesta", "resposta", "réponse", "antwort", "ответ", "답변", "response"])
-    refusal = F.lit(False)
-    for pattern in REFUSALS:
-        refusal = refusal | answer.rlike(pattern)
-    asked_bare = _bare(question)
-    copied = (asked_bare != "") & ((bare == asked_bare) | (_bare(F.regexp_replace(body, _QUESTION_LABEL, "")) == asked_bare))
-    rows = pairs.select(
-        "tab", "pair_id", "question", F.trim(body).alias("body"),
-        F.when(empty, "empty").when(refusal, "refusal").when(copied, "copy").alias("defect"),
-        language_of(F.coalesce(question, F.lit(""))).alias("q_lang"), language_of(body).alias("a_lang"), _is_full(body).alias("full"),
-    )
-    wanted = F.lit(False)
-    for lang, names in ASKED.items():
-        wanted = wanted | ((F.col("a_lang") == lang) & F.lower(question).rlike(names))
-    other = F.col("full") & (F.col("q_lang") != F.col("a_lang")) & ~wanted
-    rows = rows.withColumn("defect", F.coalesce("defect", F.when(F.coalesce(other, F.lit(False)), "language")))
-    text = F.col("body")
-    rows = rows.withColumn("ended", text.rlike(rf"(?:{_END}|[）)\]】》」』]){_CLOSERS}*$") & ~text.rlike(rf"(?:…|\.\.\.|。。。){_CLOSERS}*$"))
-    rows = rows.withColumn("sentences", _sentences(text))
-    rows = materialise(rows.drop("question"))
-    # every sentence or line of every answer; the last of an unfinished answer is a tail
-    n = F.size("sentences")
-    fragments = rows.filter("defect IS NULL").select(F.posexplode("sentences").alias("pos", "s"), n.alias("n"), "ended")
-    tail = (F.col("pos") == F.col("n") - 1) & ~F.col("ended")
+    rows = materialise(_judged(pairs))
+    sound = rows.filter("defect IS NULL AND body <> ''")
+    # whole responses ("r") and all their sentences and lines ("s"); only unfinished last sentences and responses of several sentences are asked for
+    n, text = F.size("sentences"), F.col("body")
+    whole = F.concat(F.lit("r"), F.regexp_replace(text, r"\s+", " "))
+    part = lambda s: F.concat(F.lit("s"), _fold(_core(s)))
     asks = F.col("s").rlike(r"[?？]\s*$")
-    table = (
-        fragments.select(_fold(_core(F.col("s"))).alias("text"), (~tail & ~asks).alias("complete"), tail.alias("tail"))
-        .filter("text <> ''").groupBy("text").agg(F.max("complete").alias("complete"), F.max("tail").alias("tail"))
-    )
+    pieces = sound.select(F.posexplode("sentences").alias("pos", "s"), n.alias("n"), "ended").withColumn("tail", (F.col("pos") == F.col("n") - 1) & ~F.col("ended"))
+    pieces = pieces.select(part(F.col("s")).alias("text"), (~F.col("tail") & ~asks).alias("complete"), F.col("tail").alias("wanted")).filter("complete OR wanted")
+    responses = sound.select(whole.alias("text"), F.lit(False).alias("complete"), (n > 1).alias("wanted"))
+    table = pieces.unionByName(responses).filter("length(text) > 1").groupBy("text").agg(F.max("complete").alias("complete"), F.max("wanted").alias("wanted"))
     table = materialise(table)
-    longer = shortened(table.filter("complete OR tail"))
-    known = table.filter("complete AND tail").select("text", F.lit(True).alias("known"))
-    # lengths at which unfinished answers pile up
-    lengths = rows.filter("defect IS NULL").groupBy(F.length("body").alias("len")).agg(F.count("*").alias("n"), F.count_if(~F.col("ended")).alias("cut"))
-    near = Window.orderBy("len").rangeBetween(-5, 5)
-    spikes = (
-        lengths.filter("cut > 0").repartition(1).withColumn("around", (F.sum("cut").over(near) - F.col("cut")) / 10)  # one row per length of an unfinished answer
-        .filter((F.col("cut") >= MIN_SPIKE) & (F.col("cut") > 5 * (F.col("around") + 1)) & (F.col("cut") >= 0.8 * F.col("n"))).select("len", F.lit(True).alias("spike"))
+    # a text that also stands complete is finished
+    found = neighbours(table.select("text", "wanted")).join(table.filter("complete AND wanted").select("text"), "text", "left_anti").filter((F.col("longer") & (F.length("text") > 4)) | (F.col("opening") > MIN_OPENING))
+    found = materialise(found)
+    limits = length_limits(sound.groupBy(F.length("body").alias("len")).agg(F.count("*").alias("n"), F.count_if(~F.col("ended")).alias("cut")))
+    unclosed = reduce(lambda a, b: a | b, [_count(text, o) > _count(text, c) for o, c in _BRACKETS])
+    signs = (
+        2 * (text.rlike(_ELLIPSIS) | text.rlike(_NEXT_ITEM)).cast("int") + text.rlike(r"[，、；：，,;:（(\-—–“«「《/&+]\s*$").cast("int") + unclosed.cast("int")
     )
-    last = F.element_at("sentences", -1)
-    opened = [F.length(F.regexp_replace(text, f"[^{o}]", "")) > F.length(F.regexp_replace(text, f"[^{c}]", "")) for o, c in (("（(", "）)"), ("【\\[", "】\\]"), ("《", "》"), ("“", "”"), ("「", "」"), ("«", "»"))]
-    unclosed = opened[0]
-    for o in opened[1:]:
-        unclosed = unclosed | o
-    is_list = text.rlike(r"(?m)\n\s*(?:[0-9]+\s*[.、)）]|[-*•·])")
-    long_tail = (_count(last, r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}") >= 20) | (F.size(F.split(last, r"\s+")) >= 9)
-    unfinished = (
-        rows.filter("defect IS NULL AND NOT ended AND body <> ''")
-        .withColumn("text", _fold(_core(last)))
-        .withColumn("len", F.length("body"))
-        .join(longer, "text", "left").join(known, "text", "left").join(spikes, "len", "left")
-        .select(
-            "tab", "pair_id",
-            (
-                text.rlike(r"(?:…|\.\.\.|。。。)[”\"'’」』]*$") | text.rlike(r"[，、；：,;:（(\-—–“«「《/&+]\s*$") | unclosed
-                | F.coalesce("spike", F.lit(False))
-                | (F.coalesce("known", F.lit(False)) == F.lit(False)) & (
-                    (F.coalesce("longer", F.lit(False)) & (F.length("text") >= 4)) | (~is_list & ((F.size("sentences") > 1) | long_tail | text.rlike("[，,；;]")))
-                )
-            ).alias("cut"),
-        )
-        .filter("cut").select("tab", "pair_id", F.lit("truncated").alias("defect"))
+    points = lambda c: F.when(F.col(c).isNotNull(), 2).otherwise(0)
+    weighed = (
+        sound.select("tab", "pair_id", "ended", F.length("body").alias("len"), whole.alias("whole"), part(F.element_at("sentences", -1)).alias("last"), F.when(F.col("ended"), 0).otherwise(signs).alias("signs"), (n > 1).alias("several"))
+        .join(found.select(F.col("text").alias("last"), F.lit(1).alias("tail_found")), "last", "left")
+        .join(found.filter("longer AND text LIKE 'r%'").select(F.col("text").alias("whole"), F.lit(1).alias("whole_found")), "whole", "left")
+        .join(limits.withColumn("limit", F.lit(1)), "len", "left")
+        .withColumn("points", F.col("signs") + F.when(~F.col("ended"), points("tail_found") + F.coalesce("limit", F.lit(0))).otherwise(0) + F.when(F.col("several"), points("whole_found")).otherwise(0))
     )
-    return rows.filter("defect IS NOT NULL").select("tab", "pair_id", "defect").unionByName(unfinished)
+    cut = weighed.filter(F.col("points") >= ENOUGH).select("tab", "pair_id", F.lit("truncated").alias("defect"))
+    return rows.filter("defect IS NOT NULL").select("tab", "pair_id", "defect").unionByName(cut)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.catalog import p10, p4
 from corpusloom.llm.language import LANGUAGES, ByteConvNet, languages, plain_code, train, training_windows, windows_of
 from corpusloom.llm.mojibake import garbled_fields, garbling_cost, repair
-from corpusloom.llm.qa_defects import flag_defects, shortened
+from corpusloom.llm.qa_defects import flag_defects, length_limits, neighbours
 from corpusloom.session import read
 
 SF = "/root/testdata/sf0.001"
@@ -56,28 +56,62 @@ def test_defects(spark):
     rows = [
         ("d", 1, q, None), ("d", 2, q, " … "), ("d", 3, q, "Answer:"), ("d", 4, q, "N/A"), ("d", 5, q, "Sorry, but I cannot help with that question."), ("d", 6, q, q.upper().replace("?", "")),
         ("d", 7, q, "Question: " + q), ("d", 8, q, "Die Ergebnisse zeigen, dass die Übungen das Lesen der Lernenden nicht verbessern."), ("d", 9, "请用英文概括：结果是什么？", whole), ("d", 10, q, whole),
-        ("d", 11, q, whole[:50]), ("d", 12, q, "adaptive quizzes"), ("d", 13, q, "Three aspects:\n1. reading\n2. writing"), ("d", 14, q, f"{q} {whole}"), ("d", 15, q, whole + " There is (among others"),
+        ("d", 11, q, whole[:50]), ("d", 12, q, "adaptive quizzes"), ("d", 13, q, "Three aspects:\n1. reading\n2. writing"), ("d", 14, q, f"{q} {whole}"), ("d", 15, q, whole + " There is (among others,"), ("d", 20, q, "Three aspects: 1. reading; 2."), ("d", 21, q, f"{q} {q}"), ("d", 22, q, "与材料中没有相关信息，因此不予作答。"),
         ("d", 16, None, "是的。"), ("d", 17, q, "5 weeks"), ("d", 18, q, whole + " " + "x" * 100_000 + "."), ("d", 10, q, whole), ("d", 19, q, "The paper says that teachers cannot answer every request alone, so quizzes take over."),
     ]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "tab string, pair_id bigint, question string, answer string, defect string")
     got = {r["pair_id"]: r["defect"] for r in flag_defects(frame).collect()}
-    assert got == {1: "empty", 2: "empty", 3: "empty", 4: "empty", 5: "refusal", 6: "copy", 7: "copy", 8: "language", 11: "truncated", 15: "truncated"}
+    assert got == {1: "empty", 2: "empty", 3: "empty", 4: "empty", 5: "refusal", 6: "copy", 7: "copy", 8: "language", 11: "truncated", 15: "truncated", 20: "truncated", 21: "copy", 22: "refusal"}
     assert flag_defects(frame.limit(0)).count() == 0
 
 
-def test_shortened_equals_brute_force(spark):
+def test_neighbours_equal_brute_force(spark):
+    import os
     import random
 
     rng = random.Random(2)
     texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(200)})
-    flags = {t: (rng.random() < 0.5, rng.random() < 0.5) for t in texts}
-    frame = spark.createDataFrame([(t, c, s) for t, (c, s) in flags.items()], "text string, complete boolean, tail boolean")
-    got = {r["text"]: r["longer"] for r in shortened(frame).collect()}
-    assert got == {t: any(flags[o][0] and o != t and o.startswith(t) for o in texts) for t in texts if flags[t][1]}
+    wanted = {t: rng.random() < 0.5 for t in texts}
+    frame = spark.createDataFrame(list(wanted.items()), "text string, wanted boolean").repartition(3)
+    got = {r["text"]: (r["opening"], r["longer"]) for r in neighbours(frame).collect()}
+
+    def expected(t):
+        others = [o for o in texts if o != t and not t.startswith(o)]
+        return max((len(os.path.commonprefix((o, t))) for o in others), default=0), any(o.startswith(t) for o in others)
+
+    # next to a text that it continues, a text's own opening is that of its other neighbour
+    for t, (opening, longer) in got.items():
+        assert longer == expected(t)[1] and opening <= expected(t)[0], t
+        if t == texts[0] or not t.startswith(texts[texts.index(t) - 1]):
+            assert opening == expected(t)[0], t
+    assert set(got) == {t for t in texts if wanted[t]}
+    assert neighbours(frame.limit(0)).count() == 0
+
+
+def test_response_cut_at_the_end_of_a_sentence(spark):
+    whole = "The results show that quizzes improved the reading of all learners. A second study confirms this. It took nine weeks in two schools."
+    rows = [("d", 1, None, whole), ("d", 2, None, whole[: whole.index("It took") - 1]), ("d", 3, None, whole[: whole.index("A second") - 1])]
+    got = {r["pair_id"]: r["defect"] for r in flag_defects(spark.createDataFrame(rows, "tab string, pair_id bigint, question string, answer string")).collect()}
+    assert got == {2: "truncated"}  # a single complete sentence is a short answer
+
+
+def test_length_limits(spark):
+    lengths = [(n, 4 + n % 3, 1) for n in range(50, 150)] + [(200, 60, 58), (300, 60, 10)]
+    assert [r["len"] for r in length_limits(spark.createDataFrame(lengths, "len int, n bigint, cut bigint")).collect()] == [200]
+
+
+def test_neighbours_find_most_truncations(spark, monkeypatch):
+    from corpusloom.llm import qa_defects
+
+    count = lambda: p4.p4_found(spark, "/root/testdata/sf0.01").filter("defect = 'truncated'").count()
+    found = count()
+    monkeypatch.setattr(qa_defects, "neighbours", lambda texts: texts.limit(0).selectExpr("text", "0 AS opening", "false AS longer"))
+    assert count() < found / 2
 
 
 def test_p4_runs(spark):
-    assert p4.p4_found(spark, SF).filter("defect IS NULL").count() == 0
+    rows = p4.p4_found(spark, SF).collect()
+    assert {r["defect"] for r in rows} <= {"empty", "truncated", "refusal", "copy", "language"} and len({(r["tab"], r["pair_id"]) for r in rows}) == len(rows) > 0
 
 
 def test_network_learns_and_pads():
