@@ -51,6 +51,7 @@ PLACEHOLDERS = [
 ]
 # Labels before an answer.
 LABELS = r"(?:答案|回答|答复|答|answer|ans|a|réponse|reponse|respuesta|resposta|antwort|回答|답변|답|ответ|response)"
+ANSWER_WORDS = ["答", "回答", "答案", "answer", "ans", "respuesta", "resposta", "réponse", "antwort", "ответ", "답변", "response"]
 _LABEL = rf"(?i)^\s*{LABELS}\s*[:：]\s*"
 _QUESTION_LABEL = r"(?i)^\s*(?:您的问题是|你的问题是|您问的是|你问的是|问题|题目|提问|关于|问|the question is|your question is|question|q|frage|pregunta|pergunta|質問|질문|вопрос)\s*[:：]?\s*"
 
@@ -81,6 +82,13 @@ REFUSALS = {
     r"\p{IsHangul}": ["(?:죄송|유감).{0,30}(?:없습니다|못합니다|어렵습니다)", "(?:답변|대답)(?:할 수|드릴 수|하기).{0,4}(?:없|어렵)"],
 }
 
+# Every pattern above needs one of these; looked for first, as a search for plain text is cheap.
+REFUSAL_WORDS = [
+    "无法", "不能", "不便", "未能", "难以", "没有办法", "没办法", "不予", "恕不", "拒绝", "超出", "作为", "申し訳", "できません", "かねます", "控え",
+    "can't", "can’t", "cannot", "cant ", "can not", "could", "unable", "not able", "won't", "won’t", "outside", "beyond", "decline", "refuse", "i don", "do not", "does not", "no answer",
+    "nicht", "ne peux", "ne puis", "ne suis", "imposs", "pas possible", "répondre", "no puedo", "no me es", "no dispongo", "responder", "não posso", "não consigo",
+    "не могу", "не можем", "невозможно", "ответить", "없", "못합니다", "어렵",
+]
 # Frequent function words of the languages in Latin script.
 FUNCTION_WORDS = {
     "en": "the of and to that is are for with on were this by from not how what which should their an be did does why about into as at it in an was a than has have been or but no",
@@ -104,6 +112,7 @@ ASKED = {
 
 _END = r"[。．.!！?？｡]"
 _CLOSERS = r"[”\"'’」』）)\]】》»›\s]"
+_CLOSING = "”\"'’」』）)]】》»› \t\n\r。．.!！?？｡…\u3000\u00a0"
 _NUMBERING = r"^\s*(?:[0-9]+\s*[.、)）]|[-*•·])\s*"
 _ELLIPSIS = rf"(?:…|\.\.\.|。。。){_CLOSERS}*$"
 _NEXT_ITEM = r"(?:^|[；;：:，,、\s])[0-9]+[.、)）]$"
@@ -132,12 +141,16 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Latin letters count a fifth: one word against one character of the others."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"_words": F.split(F.lower(t), r"[^\p{L}]+"), "_east": _count(t, r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"), "_kana": _count(t, r"\p{IsHiragana}\p{IsKatakana}"),
-                         "_hangul": _count(t, r"\p{IsHangul}"), "_cyrillic": _count(t, r"\p{IsCyrillic}"), "_latin": _count(t, r"\p{IsLatin}") / 5})
+    foreign = ~t.rlike(r"^\p{ASCII}*+$")
+    script = lambda chars: F.when(foreign, _count(t, chars)).otherwise(0)
+    df = df.withColumns({"_east": script(r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"), "_hangul": script(r"\p{IsHangul}"), "_cyrillic": script(r"\p{IsCyrillic}"), "_latin": _count(t, r"\p{IsLatin}") / 5})
     df = df.withColumn("_most", F.greatest("_east", "_hangul", "_cyrillic", "_latin"))
+    df = df.withColumn("_kana", F.when((F.col("_most") > 0) & (F.col("_east") == F.col("_most")), _count(t, r"\p{IsHiragana}\p{IsKatakana}")))
+    spaced = (F.col("_latin") > 0) & (F.col("_latin") == F.col("_most"))
+    df = df.withColumn("_words", F.when(spaced, F.split(F.lower(t), r"[^\p{L}]+")))
     count = lambda words: F.size(F.filter("_words", lambda w: w.isin(*words.split())))
     hits = [F.struct(count(words).alias("n"), F.lit(lang).alias("lang")) for lang, words in FUNCTION_WORDS.items()]
-    df = df.withColumn("_hits", F.when((F.col("_latin") > 0) & (F.col("_latin") == F.col("_most")), F.reverse(F.array_sort(F.array(*hits)))))
+    df = df.withColumn("_hits", F.when(spaced, F.reverse(F.array_sort(F.array(*hits)))))
     best, second = F.col("_hits")[0], F.col("_hits")[1]
     language = (
         F.when(F.col("_most") <= 0, None)
@@ -148,17 +161,18 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, language).drop("_words", "_east", "_kana", "_hangul", "_cyrillic", "_latin", "_most", "_hits")
 
 
-def is_refusal(answer: Column) -> Column:
-    """Whether a text declines: the patterns of a script are only tried on texts that hold it."""
-    lowered = F.lower(answer)
-    return reduce(lambda a, b: a | b, [lowered.rlike(script) & lowered.rlike("|".join(patterns)) for script, patterns in REFUSALS.items()])
+def is_refusal(lowered: Column) -> Column:
+    """Whether a lower-cased text declines: the patterns of a script are only tried on texts that hold it and one of the words they need."""
+    likely = reduce(lambda a, b: a | b, [lowered.contains(word) for word in REFUSAL_WORDS])
+    return likely & reduce(lambda a, b: a | b, [lowered.rlike(script) & lowered.rlike("|".join(patterns)) for script, patterns in REFUSALS.items()])
+
 
+def is_copy(asked: Column, told: Column, bare: Column, body: Column) -> Column:
+    """Whether an answer is the question once or several times, with or without a label before it, or the question in hardly other words.
 
-def is_copy(question: Column, body: Column) -> Column:
-    """Whether an answer is the question once or several times, with or without a label before it, or the question in hardly other words."""
-    asked, told = _bare(question), _bare(F.regexp_replace(body, _QUESTION_LABEL, ""))
-    again = body.rlike(rf"[?？]{_CLOSERS}*$") & (F.levenshtein(told, asked, 20) >= 0) & (F.levenshtein(told, asked) <= COPY_EDITS * F.length(asked))
-    return (asked != "") & ((F.replace(_bare(body), asked, F.lit("")) == "") | (F.replace(told, asked, F.lit("")) == "") | again)
+    ``asked``, ``told`` and ``bare`` are the question and the answer without and with a label, without white space and punctuation."""
+    again = body.rlike(r"[?？][^\p{L}\p{N}]*$") & (F.levenshtein(told, asked, 20) >= 0) & (F.levenshtein(told, asked) <= COPY_EDITS * F.length(asked))
+    return (asked != "") & ((F.replace(bare, asked, F.lit("")) == "") | (F.replace(told, asked, F.lit("")) == "") | again)
 
 
 def _is_full(text: Column) -> Column:
@@ -179,7 +193,7 @@ def _fold(text: Column) -> Column:
 
 def _core(text: Column) -> Column:
     """A sentence without its closing marks."""
-    return F.regexp_replace(F.regexp_replace(text, "\ue000$", ""), rf"(?:{_END}|{_CLOSERS}|…)+$", "")
+    return F.rtrim(text, F.lit(_CLOSING + "\ue000"))
 
 
 _WALK = "text string, pid int, wanted boolean, opening int, longer boolean, edge boolean"
@@ -245,16 +259,19 @@ def _judged(pairs: DataFrame) -> DataFrame:
     """Every pair with its body and the first of the defects that its own text shows."""
     body = F.trim(F.regexp_replace(F.coalesce(F.col("answer"), F.lit("")), _LABEL, ""))
     rows = pairs.select("tab", "pair_id", "question", F.coalesce("answer", F.lit("")).alias("answer"), body.alias("body"))
-    bare, whole = _bare(F.col("body")), _bare(F.col("answer"))
-    empty = (bare == "") | bare.isin(*PLACEHOLDERS) | whole.isin(*PLACEHOLDERS, *["答", "回答", "答案", "answer", "ans", "respuesta", "resposta", "réponse", "antwort", "ответ", "답변", "response"])
-    rows = rows.withColumn("defect", F.when(empty, "empty").when(is_refusal(F.col("answer")), "refusal").when(is_copy(F.col("question"), F.col("body")), "copy"))
+    rows = rows.withColumns({"lowered": F.lower("answer"), "bare": _bare(F.col("body")), "whole": _bare(F.col("answer")), "asked": _bare(F.col("question")), "told": _bare(F.regexp_replace("body", _QUESTION_LABEL, ""))})
+    empty = (F.col("bare") == "") | F.col("bare").isin(*PLACEHOLDERS) | F.col("whole").isin(*PLACEHOLDERS, *ANSWER_WORDS)
+    copied = is_copy(F.col("asked"), F.col("told"), F.col("bare"), F.col("body"))
+    rows = rows.withColumn("defect", F.when(empty, "empty").when(is_refusal(F.col("lowered")), "refusal").when(copied, "copy")).drop("lowered", "bare", "whole", "asked", "told")
     rows = with_language(with_language(rows, "question", "q_lang"), "body", "a_lang")
     lowered = F.lower("question")
     wanted = reduce(lambda a, b: a | b, [(F.col("a_lang") == lang) & lowered.rlike(names) for lang, names in ASKED.items()])
-    other = (F.col("q_lang") != F.col("a_lang")) & _is_full(F.col("body")) & ~wanted
-    rows = rows.withColumn("defect", F.coalesce("defect", F.when(F.coalesce(other, F.lit(False)), "language")))
+    other = (F.col("q_lang") != F.col("a_lang")) & _is_full(F.col("body"))
+    rows = rows.withColumn("defect", F.coalesce("defect", F.when(F.coalesce(other, F.lit(False)), F.when(~wanted, "language"))))
     text = F.col("body")
-    ended = text.rlike(rf"(?:{_END}|[）)\]】》」』]){_CLOSERS}*$") & ~text.rlike(_ELLIPSIS) & ~text.rlike(_NEXT_ITEM)
+    end = F.rtrim(text, F.lit(_CLOSING))  # the closing marks gone, so the patterns look at a few last characters
+    end = F.concat(F.right(end, F.lit(8)), F.substr(text, F.length(end) + 1))
+    ended = end.rlike(rf"(?:{_END}|[）)\]】》」』]){_CLOSERS}*$") & ~end.rlike(_ELLIPSIS) & ~end.rlike(_NEXT_ITEM)
     return rows.select("tab", "pair_id", "defect", "body", F.when(F.col("defect").isNull(), _sentences(text)).alias("sentences"), ended.alias("ended"))
 
 
