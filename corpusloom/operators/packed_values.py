@@ -1,23 +1,29 @@
 """Several values packed in one field: split into one row per value.
 
-A field is read in this order:
-
-* a value in double quotes is one value (a doubled inner quote stands for one);
-* a semicolon outside quotes splits the field, and then no other mark does;
-* otherwise one kind of mark splits it: the first of ``MARKS`` that occurs.
-  ASCII and full-width forms are one kind;
-* with ``joined=True`` (lists of people) the word before the last name splits too.
-
-Where marks split without a semicolon, a mark may still belong to a value
-(``A/B`` as one term).  A segmentation model decides: value frequencies are
-learned from the whole column, first from the readings that are certain
-(semicolon lists, quoted values, fields without marks), then by expectation
-maximisation over the lattices of the uncertain fields; the best path through a
-field's lattice gives its values.  A join of neighbouring pieces is an edge of
-the lattice when the joined text is a certain value somewhere in the column;
-fields without such an edge have a single path and need no search.
-
-Null and empty fields give no rows; an unclosed quote is an ordinary character.
+Two things are read from a field itself: a value in double quotes is one value (a
+doubled inner quote stands for one), and a semicolon outside quotes splits the field,
+after which no other mark does.  Everything else is a question of likelihood.  A field
+without semicolons that holds other marks has several *readings*: a list split by one
+kind of mark, for each kind that occurs (ASCII and full-width forms are one kind), or
+a single value.  Within a reading, neighbouring pieces may be one value that holds
+its mark (``A/B`` as one term), if that value stands by itself somewhere in the column.
+All readings of a field make its lattice.
+
+A segmentation model weighs them: how often a value occurs in the whole column, what
+an unseen value of its length costs, and how often a kind of mark stands within a
+value.  Frequencies start from the readings that are certain (semicolon lists, quoted
+values, fields without marks); expectation maximisation adds what the lattices of all
+other fields contribute and learns for every kind of mark how seldom it belongs to
+values; the best path through a field's lattice gives its values.  Before anything
+is learned, kinds that come first in ``MARKS`` are taken to split, as a newline
+hardly belongs to a value and a slash often does.
+
+With ``joined`` (lists of people) the word before the last name splits too.  Equal
+fields share a lattice.  Lattices of plain readings are weighed by column
+expressions; only those with joined pieces need a task's forward-backward pass.
+
+Null and empty fields give no rows; an unclosed quote is an ordinary character;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +46,13 @@ JOINERS = r"(?:and|&|und|et|y|e|и|和|与|及|및|と)"
 _WS = r"[\s 　]*+"
 _ALL = SEMICOLONS + "".join(MARKS)
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
-EM_ROUNDS = 3
+EM_ROUNDS = 2
+#: The reading of a field as a single value, beside those by the kinds in ``MARKS``.
+SINGLE = len(MARKS)
+#: Cost of a character and of the end of a value that was never seen, and the share of such values.
+_CHAR, _END, _UNSEEN = 3.9, 3.0, 0.1
+#: A mark's share within values before anything is learned, and the weight of this belief in observed marks.
+INSIDE, BELIEF = 0.02, 5.0
 
 
 def _trim(value: Column) -> Column:
@@ -77,26 +89,23 @@ def _split_last(pieces: Column) -> Column:
 
 
 def read_fields(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
-    """``(id, field, kind, pieces)`` of every non-empty field.
+    """``(id, field, raw, pieces, readings)`` of every non-empty field.
 
-    ``kind`` is -1 for semicolon lists, the index in ``MARKS`` of the mark that
-    splits, or null where nothing splits.
-    """
+    ``pieces`` are those of a semicolon list or of a field without marks; other fields
+    have ``readings (kind, pieces)`` instead, one for each kind of mark they hold."""
     entries = F.array(*[F.struct(F.lit(name).alias("field"), col.cast("string").alias("raw")) for name, col in fields.items()])
     rows = df.select(F.col(id_col).alias("id"), F.explode(entries).alias("e")).select("id", "e.field", "e.raw").filter(F.col("raw").isNotNull() & (F.col("raw") != ""))
-    raw, is_list = F.col("raw"), F.col("field").isin(*joined)
+    raw, is_list, masked = F.col("raw"), F.col("field").isin(*joined), F.col("masked")
     rows = rows.withColumn("masked", _trim(F.when(is_list, _masked(raw, True)).otherwise(_masked(raw, False))))
-    kind = F.when(F.col("masked").rlike(f"[{SEMICOLONS}]"), -1)
-    for i, marks in enumerate(MARKS):
-        kind = kind.when(F.col("masked").rlike(f"[{marks}]"), i)
-    rows = rows.withColumn("kind", kind)
+    split = lambda pieces: F.when(is_list, _split_last(pieces)).otherwise(pieces)
     # only trimmed text is split by spaces that are marks themselves
     body = _trim(raw)
-    pieces = F.when(F.col("kind") == -1, _pieces(raw, SEMICOLONS))
-    for i, marks in enumerate(MARKS):
-        pieces = pieces.when(F.col("kind") == i, _pieces(body, marks))
-    rows = rows.withColumn("pieces", pieces.otherwise(F.array(raw)))
-    return rows.select("id", "field", "kind", F.when(is_list, _split_last(F.col("pieces"))).otherwise(F.col("pieces")).alias("pieces"))
+    found = [F.when(masked.rlike(f"[{marks}]"), F.struct(F.lit(i).alias("kind"), split(_pieces(body, marks)).alias("pieces"))) for i, marks in enumerate(MARKS)]
+    semicolons = masked.rlike(f"[{SEMICOLONS}]")
+    marked = ~semicolons & masked.rlike(f"[{''.join(MARKS)}]")
+    rows = rows.withColumn("readings", F.when(marked, F.array_compact(F.array(*found))))
+    pieces = F.when(semicolons, split(_pieces(raw, SEMICOLONS))).when(F.col("readings").isNull(), split(F.array(raw)))
+    return rows.select("id", "field", "raw", pieces.alias("pieces"), "readings")
 
 
 def _canonical_join(value: Column) -> Column:
@@ -105,135 +114,145 @@ def _canonical_join(value: Column) -> Column:
     return F.regexp_replace(folded, rf"{_WS}([;,/|、\n\t]){_WS}", "$1")
 
 
-def _best_and_posterior(spans: list, mode: str) -> list:
-    """Forward-backward (``mode='em'``) or Viterbi over one field's lattice.
+def _weigh(spans: list, scores: dict[int, float]) -> dict:
+    """Forward-backward and the best path over the readings of one field.
 
-    A span is (start, length, weight): the log of its learned frequency."""
-    n = max(s["start"] + s["len"] for s in spans)
-    ends: dict[int, list] = {}
+    A span is (kind, start, len, weight); ``scores`` holds what a reading costs besides its values."""
+    chains: dict[int, list[int]] = {}
     for i, s in enumerate(spans):
-        ends.setdefault(s["start"] + s["len"], []).append(i)
-    fwd = np.full(n + 1, -np.inf)
-    fwd[0] = 0.0
-    back: dict[int, int] = {}
-    for e in range(1, n + 1):
-        scores = [(fwd[spans[i]["start"]] + spans[i]["weight"], i) for i in ends.get(e, [])]
-        if scores:
-            fwd[e] = np.logaddexp.reduce([s for s, _ in scores]) if mode == "em" else max(scores)[0]
-            back[e] = max(scores, key=lambda x: (x[0], spans[x[1]]["len"]))[1]
-    if mode == "best":
-        path, e = [], n
-        while e > 0:
-            path.append(back[e])
-            e = spans[back[e]]["start"]
-        return [{"start": spans[i]["start"], "len": spans[i]["len"]} for i in reversed(path)]
-    bwd = np.full(n + 1, -np.inf)
-    bwd[n] = 0.0
-    for s in sorted(spans, key=lambda s: -(s["start"] + s["len"])):
-        bwd[s["start"]] = np.logaddexp(bwd[s["start"]], s["weight"] + bwd[s["start"] + s["len"]])
-    return [{"item": s["item"], "p": float(np.exp(fwd[s["start"]] + s["weight"] + bwd[s["start"] + s["len"]] - fwd[n]))} for s in spans]
-
-
-@F.pandas_udf(T.ArrayType(T.StructType().add("item", "string").add("p", "double")))
-def _posteriors(lattices: pd.Series) -> pd.Series:
-    return lattices.map(lambda spans: _best_and_posterior(list(spans), "em"))
-
-
-@F.pandas_udf(T.ArrayType(T.StructType().add("start", "integer").add("len", "integer")))
-def _best_path(lattices: pd.Series) -> pd.Series:
-    return lattices.map(lambda spans: _best_and_posterior(list(spans), "best"))
-
-
-def _uncertain_paths(fields: DataFrame) -> DataFrame:
-    """``(id, field, path)`` of the fields whose lattice has more than one path."""
-    quoted = lambda p: _trim(p).rlike(f"^{_QUOTED}$")
+        chains.setdefault(s["kind"], []).append(i)
+    sums, posterior, best = {}, np.zeros(len(spans)), (-np.inf, 0, [])
+    for kind in sorted(chains):
+        own = chains[kind]
+        n = max(spans[i]["start"] + spans[i]["len"] for i in own)
+        ends: dict[int, list[int]] = {}
+        for i in own:
+            ends.setdefault(spans[i]["start"] + spans[i]["len"], []).append(i)
+        fwd, top, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), {}
+        fwd[0] = top[0] = scores[kind]
+        for e in range(1, n + 1):
+            for i in ends.get(e, []):
+                fwd[e] = np.logaddexp(fwd[e], fwd[spans[i]["start"]] + spans[i]["weight"])
+                if (value := top[spans[i]["start"]] + spans[i]["weight"]) > top[e]:
+                    top[e], back[e] = value, i
+        bwd = np.full(n + 1, -np.inf)
+        bwd[n] = 0.0
+        for i in sorted(own, key=lambda i: -(spans[i]["start"] + spans[i]["len"])):
+            bwd[spans[i]["start"]] = np.logaddexp(bwd[spans[i]["start"]], spans[i]["weight"] + bwd[spans[i]["start"] + spans[i]["len"]])
+        for i in own:
+            posterior[i] = fwd[spans[i]["start"]] + spans[i]["weight"] + bwd[spans[i]["start"] + spans[i]["len"]]
+        sums[kind] = fwd[n]
+        if top[n] > best[0]:
+            path, e = [], n
+            while e > 0:
+                path.append(back[e])
+                e = spans[back[e]]["start"]
+            best = (top[n], kind, [{"start": spans[i]["start"], "len": spans[i]["len"]} for i in reversed(path)])
+    total = np.logaddexp.reduce(list(sums.values()))
+    return {"post": np.exp(posterior - total).tolist(), "share": [{"kind": k, "p": float(np.exp(v - total))} for k, v in sums.items()], "kind": best[1], "path": best[2]}
+
+
+_SHARE = T.ArrayType(T.StructType().add("kind", "integer").add("p", "double"))
+_WEIGHED = T.StructType().add("post", T.ArrayType(T.DoubleType())).add("share", _SHARE).add("kind", "integer").add("path", T.ArrayType(T.StructType().add("start", "integer").add("len", "integer")))
+
+
+@F.pandas_udf(_WEIGHED)
+def _weigh_joined(spans: pd.Series, scores: pd.Series) -> pd.DataFrame:
+    rows = [_weigh(list(one), {s["kind"]: s["score"] for s in other}) for one, other in zip(spans, scores)]
+    return pd.DataFrame(rows, columns=["post", "share", "kind", "path"])
+
+
+def _weigh_plain(spans: Column, scores: Column) -> Column:
+    """The same for readings without joined pieces: the values of each are given, so sums are enough."""
+    sums = F.transform(scores, lambda c: F.struct(c["kind"].alias("kind"), F.aggregate(F.filter(spans, lambda s: s["kind"] == c["kind"]), c["score"], lambda t, s: t + s["weight"]).alias("sum")))
+    top = F.array_max(F.transform(sums, lambda c: c["sum"]))
+    total = F.aggregate(sums, F.lit(0.0), lambda t, c: t + F.exp(c["sum"] - top))
+    share = F.transform(sums, lambda c: F.struct(c["kind"].alias("kind"), (F.exp(c["sum"] - top) / total).alias("p")))
+    best = F.array_min(F.transform(F.filter(sums, lambda c: c["sum"] == top), lambda c: c["kind"]))
+    post = F.transform(spans, lambda s: F.filter(share, lambda c: c["kind"] == s["kind"])[0]["p"])
+    return F.struct(post.alias("post"), share.alias("share"), best.alias("kind"), F.lit(None).cast("array<struct<start:int,len:int>>").alias("path"))
+
+
+def _joins(chains: DataFrame, certain: DataFrame) -> DataFrame:
+    """Spans of several neighbouring pieces whose joined text is a certain value somewhere in the column."""
     inner = "[" + _ALL.replace("　", "") + "]"
-    # certain values that contain a mark, from the whole column
-    certain = fields.select(
-        "field",
-        F.explode(
-            F.when(F.col("kind").isNull() | (F.col("kind") == -1), F.col("pieces")).otherwise(F.filter("pieces", quoted))
-        ).alias("piece"),
-    )
-    compounds = (
-        certain.filter(F.col("piece").rlike(inner))
-        .select("field", _canonical_join(_unquote(F.col("piece"))).alias("item"))
-        .filter(F.col("item").rlike(inner))
-        .groupBy("field", "item")
-        .agg(F.count("*").alias("n"))
-    )
-    compounds = materialise(compounds)
+    compounds = materialise(certain.filter(F.col("item").rlike(inner)).select("field", "item"))
     width = compounds.groupBy("field").agg(F.max(F.size(F.split("item", inner))).alias("width"))  # a row per field
-    open_fields = fields.filter(F.col("kind") >= 0).join(F.broadcast(width), "field")
-    n = F.size("pieces")
-    mark = F.element_at(F.array(*[F.lit({"|｜": "|", ",，": ",", "/／": "/", "、､": "、"}.get(m, m)) for m in MARKS]), F.col("kind") + 1)
+    n, mark = F.size("pieces"), F.element_at(F.array(*[F.lit(m[0]) for m in MARKS]), F.col("kind") + 1)
     pairs = F.flatten(
         F.transform(
             F.sequence(F.lit(0), n - 2),
             lambda s: F.transform(
                 F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.col("width"), n - s))),
-                lambda w: F.struct(
-                    s.cast("int").alias("start"),
-                    w.cast("int").alias("len"),
-                    _canonical_join(F.call_function("array_join", F.transform(F.slice("pieces", s + 1, w), _trim), F.col("mark"))).alias("item"),
-                ),
+                lambda w: F.struct(s.cast("int").alias("start"), w.cast("int").alias("len"), _canonical_join(F.call_function("array_join", F.transform(F.slice("pieces", s + 1, w), _trim), F.col("mark"))).alias("item")),
             ),
         )
     )
-    joins = (
-        open_fields.filter(n >= 2)
-        .withColumn("mark", mark)
-        .select("id", "field", "kind", "pieces", F.explode(pairs).alias("s"))
-        .filter(F.col("s.start") + F.col("s.len") <= F.size("pieces"))
-        .select("id", "field", "pieces", "s.*")
-        .join(compounds, ["field", "item"])
-    )
-    hits = materialise(joins.groupBy("id", "field").agg(F.any_value("pieces").alias("pieces"), F.collect_list(F.struct("start", "len", "item", F.col("n").cast("double").alias("n"))).alias("joins")))
-    if not hits.head(1):
-        return hits.select("id", "field", F.array().cast("array<struct<start:int,len:int>>").alias("path"))
-    # frequencies of the pieces of those fields, over the whole column's certain values
-    singles = hits.select("id", "field", F.posexplode("pieces").alias("start", "piece")).select("id", "field", "start", F.lit(1).alias("len"), _canonical_join(_unquote(F.col("piece"))).alias("item"))
-    needed = singles.select("field", "item").distinct()
-    counted = certain.select("field", _canonical_join(_unquote(F.col("piece"))).alias("item")).groupBy("field", "item").agg(F.count("*").cast("double").alias("n"))
-    known = needed.join(counted, ["field", "item"], "left").select("field", "item", F.coalesce("n", F.lit(0.0)).alias("n"))
-    joined = hits.select("id", "field", F.explode("joins").alias("j")).select("id", "field", "j.start", "j.len", "j.item")
-    spans = materialise(singles.unionByName(joined.select("id", "field", "start", "len", "item")))
-    base = materialise(known.unionByName(hits.select("field", F.explode("joins").alias("j")).select("field", "j.item", "j.n").distinct()).groupBy("field", "item").agg(F.max("n").alias("n")))
-    totals = counted.groupBy("field").agg(F.sum("n").alias("total"))
-    totals = materialise(totals)  # a row per field
-
-    def lattice(freq: DataFrame) -> DataFrame:
-        weight = F.log((F.col("n") + 0.01) / (F.col("total") + 1.0))
-        return (
-            spans.join(freq, ["field", "item"]).join(F.broadcast(totals), "field")
-            .groupBy("id", "field").agg(F.collect_list(F.struct("start", "len", "item", weight.alias("weight"))).alias("spans"))
-        )
+    spans = chains.filter((F.col("kind") < SINGLE) & (n >= 2)).join(F.broadcast(width), "field").withColumn("mark", mark).select("field", "raw", "kind", n.alias("n"), F.explode(pairs).alias("s"))
+    return spans.filter(F.col("s.start") + F.col("s.len") <= F.col("n")).select("field", "raw", "kind", "s.*").join(compounds, ["field", "item"]).select("field", "raw", "kind", "start", "len", "item")
 
-    freq = base
+
+def segment(fields: DataFrame) -> DataFrame:
+    """``(field, raw, kind, path)``: the best reading of every field of ``read_fields`` that has readings.
+
+    ``path`` tells which of its pieces belong together, null where none do."""
+    quoted = lambda p: _trim(p).rlike(f"^{_QUOTED}$")
+    value = lambda p: _canonical_join(_unquote(p))
+    sure = fields.select("field", F.explode(F.coalesce("pieces", F.filter(F.flatten(F.col("readings.pieces")), quoted))).alias("p"))
+    certain = materialise(sure.select("field", value(F.col("p")).alias("item")).filter("item <> ''").groupBy("field", "item").agg(F.count("*").cast("double").alias("n")))
+    totals = materialise(certain.groupBy("field").agg(F.sum("n").alias("total")))  # a row per field
+    lattices = fields.filter("readings IS NOT NULL").groupBy("field", "raw").agg(F.count("*").alias("n"), F.any_value("readings").alias("readings"))
+    lattices = lattices.withColumn("marks", F.transform("readings", lambda r: F.struct(r["kind"].alias("kind"), (F.size(r["pieces"]) - 1).alias("n"))))
+    lattices = materialise(lattices)
+    chains = lattices.select("field", "raw", F.explode(F.concat("readings", F.array(F.struct(F.lit(SINGLE).alias("kind"), F.array("raw").alias("pieces"))))).alias("r")).select("field", "raw", "r.*")
+    singles = chains.select("field", "raw", "kind", F.posexplode("pieces").alias("start", "p")).select("field", "raw", "kind", "start", F.lit(1).alias("len"), value(F.col("p")).alias("item"))
+    spans = singles.unionByName(_joins(chains, certain)).withColumn("own", F.lit(0.0))
+
+    def weighed(spans: DataFrame, freq: DataFrame, inside: DataFrame) -> DataFrame:
+        # what a lattice itself has added says nothing about it
+        elsewhere = F.greatest(F.coalesce("f", F.lit(0.0)) - F.col("own"), F.lit(0.0))
+        unseen = F.exp(-_CHAR * F.length("item") - _END)
+        weight = F.when(F.col("item") == "", 0.0).otherwise(F.log((1 - _UNSEEN) * elsewhere / (F.coalesce("total", F.lit(0.0)) + 1) + _UNSEEN * unseen + 1e-300))
+        rated = spans.join(freq, ["field", "item"], "left").join(F.broadcast(totals), "field", "left").join(F.broadcast(inside), "field")
+        # a joined value holds the mark of its own reading
+        rated = rated.select("field", "raw", F.struct("kind", "start", "len", "item", (weight + F.when(F.col("len") > 1, (F.col("len") - 1) * F.log(F.get("rho", F.col("kind")))).otherwise(0.0)).alias("weight")).alias("s"))
+        rows = rated.groupBy("field", "raw").agg(F.collect_list("s").alias("spans")).join(lattices.select("field", "raw", "n", "marks"), ["field", "raw"]).join(F.broadcast(inside), "field")
+        # a reading leaves the marks of the kinds before its own within values
+        left = lambda k: F.aggregate(F.filter("marks", lambda m: m["kind"] < k), F.lit(0.0), lambda t, m: t + m["n"] * F.log(F.get("rho", m["kind"])))
+        own = lambda k: F.aggregate(F.filter("marks", lambda m: m["kind"] == k), F.lit(0.0), lambda t, m: t + m["n"] * F.log(1 - F.get("rho", m["kind"])))
+        scores = F.transform(F.array_distinct(F.col("spans.kind")), lambda k: F.struct(k.alias("kind"), (left(k) + own(k)).alias("score")))
+        rows = materialise(rows.select("field", "raw", "n", "marks", "spans", scores.alias("scores")))  # two branches read it
+        plain = ~F.exists("spans", lambda s: s["len"] > 1)
+        return rows.filter(plain).withColumn("w", _weigh_plain(F.col("spans"), F.col("scores"))).unionByName(rows.filter(~plain).withColumn("w", _weigh_joined("spans", "scores")))
+
+    start = F.array(*[F.lit(INSIDE)] * len(MARKS))
+    freq, inside = certain.withColumnRenamed("n", "f"), lattices.select("field").distinct().withColumn("rho", start)
     for _ in range(EM_ROUNDS):
-        gained = lattice(freq).select("field", F.explode(_posteriors("spans")).alias("e")).groupBy("field", F.col("e.item").alias("item")).agg(F.sum("e.p").alias("gain"))
-        freq = materialise(base.join(gained, ["field", "item"], "left").select("field", "item", (F.col("n") + F.coalesce("gain", F.lit(0.0))).alias("n")))
-    return materialise(lattice(freq).select("id", "field", _best_path("spans").alias("path")))
+        rows = weighed(spans, freq, inside)
+        spans = materialise(rows.select("field", "raw", "n", F.explode(F.arrays_zip("spans", "w.post")).alias("e")).select("field", "raw", "e.spans.kind", "e.spans.start", "e.spans.len", "e.spans.item", (F.col("n") * F.col("e.post")).alias("own")))
+        gained = spans.filter("own > 1e-6").groupBy("field", "item").agg(F.sum("own").alias("f"))
+        freq = materialise(certain.withColumnRenamed("n", "f").unionByName(gained).groupBy("field", "item").agg(F.sum("f").alias("f")))
+        within = F.transform("marks", lambda m: F.struct(
+            m["kind"].alias("kind"), m["n"].alias("n"),
+            F.aggregate(F.filter("w.share", lambda c: c["kind"] > m["kind"]), F.lit(0.0), lambda t, c: t + c["p"]).alias("p"), F.aggregate(F.filter("w.share", lambda c: c["kind"] >= m["kind"]), F.lit(0.0), lambda t, c: t + c["p"]).alias("q"),
+        ))
+        seen = rows.select("field", "n", F.explode(within).alias("m")).groupBy("field", "m.kind").agg(F.sum(F.col("n") * F.col("m.n") * F.col("m.p")).alias("inside"), F.sum(F.col("n") * F.col("m.n") * F.col("m.q")).alias("all"))
+        rho = seen.select("field", F.struct("kind", ((F.col("inside") + INSIDE * BELIEF) / (F.col("all") + BELIEF)).alias("rho")).alias("r")).groupBy("field").agg(F.map_from_entries(F.collect_list("r")).alias("by_kind"))
+        inside = materialise(rho.select("field", F.array(*[F.coalesce(F.try_element_at("by_kind", F.lit(k)), F.lit(INSIDE)) for k in range(len(MARKS))]).alias("rho")))
+    return materialise(weighed(spans, freq, inside).select("field", "raw", "w.kind", "w.path"))
 
 
 def packed_arrays(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
     """``(id, field, items)``: the values of every non-empty field in order."""
     # read once: the lattices and the result go over the pieces several times
     parsed = materialise(read_fields(df, id_col, fields, joined))
-    paths = _uncertain_paths(parsed)
-    mark = F.element_at(F.array(*[F.lit({"|｜": "|", ",，": ", ", "/／": "/", "、､": "、"}.get(m, m)) for m in MARKS]), F.col("kind") + 1)
-    return (
-        parsed.join(paths, ["id", "field"], "left")
-        .select(
-            "id",
-            "field",
-            F.when(
-                F.col("path").isNotNull(),
-                F.transform("path", lambda s: F.call_function("array_join", F.slice("pieces", s["start"] + 1, s["len"]), mark)),
-            ).otherwise(F.col("pieces")).alias("pieces"),
-        )
-        .select("id", "field", F.filter(F.transform("pieces", _unquote), lambda v: v != "").alias("items"))
-    )
+    mark = F.element_at(F.array(*[F.lit({",，": ", "}.get(m, m[0])) for m in MARKS]), F.col("kind") + 1)
+    certain = parsed.filter("readings IS NULL").select("id", "field", "pieces")
+    read = parsed.filter("readings IS NOT NULL").select("id", "field", "raw", "readings").join(segment(parsed), ["field", "raw"])
+    own = F.coalesce(F.get(F.filter("readings", lambda r: r["kind"] == F.col("kind")), F.lit(0))["pieces"], F.array("raw"))
+    together = F.transform("path", lambda s: F.call_function("array_join", F.slice("own", s["start"] + 1, s["len"]), F.col("mark")))
+    chosen = read.withColumn("own", own).withColumn("mark", F.when(F.col("kind") < SINGLE, mark)).select("id", "field", F.when(F.col("path").isNotNull() & (F.col("kind") < SINGLE), together).otherwise(F.col("own")).alias("pieces"))
+    return certain.unionByName(chosen).select("id", "field", F.filter(F.transform("pieces", _unquote), lambda v: v != "").alias("items"))
 
 
 def packed_items(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:

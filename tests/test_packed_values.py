@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators.packed_values import packed_items
+from corpusloom.operators.packed_values import packed_items, read_fields, segment
 from corpusloom.session import read
 
 KINDS = ["\n", "\t", "|｜", "、､", ",，", "/／", "　"]
@@ -90,3 +90,21 @@ def test_whole_table_against_rules_by_hand(spark):
             want = split_by_hand(text, field == "authors") if text else []
             assert [got.get((row["rec_no"], field), {})[i + 1] for i in range(len(want))] == want, text
             assert len(got.get((row["rec_no"], field), {})) == len(want), text
+
+
+def test_every_marked_field_has_a_lattice(spark):
+    corpus = read(spark, "/root/testdata/sf0.001", "demo_corpus")
+    parsed = read_fields(corpus, "rec_no", {f: F.col(f"meta.{f}") for f in ("authors", "organ", "keywords")})
+    marked = parsed.filter("readings IS NOT NULL").select("field", "raw").distinct().count()
+    paths = segment(parsed)
+    assert paths.count() == marked > 0
+    assert segment(parsed.limit(0)).count() == 0
+
+
+def test_the_column_decides_between_kinds(spark):
+    """By precedence alone the comma would split; the column shows that it belongs to these values."""
+    rows = [(i, "Lee, Ann; Ray, Bo; Poe, Cy") for i in range(30)] + [(100, "Lee, Ann/Ray, Bo"), (101, "Poe, Cy")]
+    got = {}
+    for r in packed_items(spark.createDataFrame(rows, "k bigint, v string"), "k", {"keywords": F.col("v")}).filter("id >= 100").collect():
+        got.setdefault(r["id"], {})[r["pos"]] = r["item"]
+    assert got == {100: {1: "Lee, Ann", 2: "Ray, Bo"}, 101: {1: "Poe, Cy"}}
