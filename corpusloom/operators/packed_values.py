@@ -188,58 +188,76 @@ def _joins(chains: DataFrame, certain: DataFrame) -> DataFrame:
             ),
         )
     )
-    spans = chains.filter((F.col("kind") < SINGLE) & (n >= 2)).join(F.broadcast(width), "field").withColumn("mark", mark).select("field", "raw", "kind", n.alias("n"), F.explode(pairs).alias("s"))
-    return spans.filter(F.col("s.start") + F.col("s.len") <= F.col("n")).select("field", "raw", "kind", "s.*").join(compounds, ["field", "item"]).select("field", "raw", "kind", "start", "len", "item")
+    spans = chains.filter((F.col("kind") < SINGLE) & (n >= 2)).join(F.broadcast(width), "field").withColumn("mark", mark).select(*_KEY, "kind", n.alias("n"), F.explode(pairs).alias("s"))
+    return spans.filter(F.col("s.start") + F.col("s.len") <= F.col("n")).select(*_KEY, "kind", "s.*").join(compounds, ["field", "item"]).select(*_KEY, "kind", "start", "len", "item")
+
+
+#: A field's text stands for itself by two hashes of together 96 bits.
+_KEY = ("field", "h1", "h2")
+
+
+def _keyed(fields: DataFrame) -> DataFrame:
+    return fields.withColumns({"h1": F.xxhash64("raw"), "h2": F.hash("raw")})
+
+
+def _scored(spans: DataFrame, inside: DataFrame, plain: bool) -> DataFrame:
+    """Lattices ``(field, h1, h2, n, marks, spans, w)`` of ``spans`` with the count ``f`` of their values elsewhere; ``w`` is their weighing."""
+    unseen = F.exp(-_CHAR * F.length("item") - _END)
+    weight = F.when(F.col("item") == "", 0.0).otherwise(F.log((1 - _UNSEEN) * F.col("f") / F.col("total") + _UNSEEN * unseen + 1e-300))
+    # a joined value holds the mark of its own reading
+    weight = weight + F.when(F.col("len") > 1, (F.col("len") - 1) * F.log(F.get("rho", F.col("kind")))).otherwise(0.0)
+    rated = spans.join(F.broadcast(inside), "field").select(*_KEY, "n", "marks", F.struct("kind", "start", "len", "item", "c", weight.alias("weight")).alias("s"))
+    rows = rated.groupBy(*_KEY).agg(F.max("n").alias("n"), F.max("marks").alias("marks"), F.collect_list("s").alias("spans")).join(F.broadcast(inside), "field")
+    # a reading leaves the marks of the kinds before its own within values
+    left = lambda k: F.aggregate(F.filter("marks", lambda m: m["kind"] < k), F.lit(0.0), lambda t, m: t + m["n"] * F.log(F.get("rho", m["kind"])))
+    own = lambda k: F.aggregate(F.filter("marks", lambda m: m["kind"] == k), F.lit(0.0), lambda t, m: t + m["n"] * F.log(1 - F.get("rho", m["kind"])))
+    scores = F.transform(F.array_distinct(F.col("spans.kind")), lambda k: F.struct(k.alias("kind"), (left(k) + own(k)).alias("score")))
+    rows = rows.select(*_KEY, "n", "marks", "spans", scores.alias("scores"))
+    if plain:
+        return rows.withColumn("w", _weigh_plain(F.col("spans"), F.col("scores")))
+    rows = materialise(rows)  # two branches read it
+    joined = F.exists("spans", lambda s: s["len"] > 1)
+    return rows.filter(~joined).withColumn("w", _weigh_plain(F.col("spans"), F.col("scores"))).unionByName(rows.filter(joined).withColumn("w", _weigh_joined("spans", "scores")))
 
 
 def segment(fields: DataFrame) -> DataFrame:
-    """``(field, raw, kind, path)``: the best reading of every field of ``read_fields`` that has readings.
+    """``(field, h1, h2, kind, path)``: the best reading of every field of ``read_fields`` that has readings, by the hashes of its text.
 
     ``path`` tells which of its pieces belong together, null where none do."""
     quoted = lambda p: _trim(p).rlike(f"^{_QUOTED}$")
     value = lambda p: _canonical_join(_unquote(p))
-    sure = fields.select("field", F.explode(F.coalesce("pieces", F.filter(F.flatten(F.col("readings.pieces")), quoted))).alias("p"))
-    certain = materialise(sure.select("field", value(F.col("p")).alias("item")).filter("item <> ''").groupBy("field", "item").agg(F.count("*").cast("double").alias("n")))
-    totals = materialise(certain.groupBy("field").agg(F.sum("n").alias("total")))  # a row per field
-    lattices = fields.filter("readings IS NOT NULL").groupBy("field", "raw").agg(F.count("*").alias("n"), F.any_value("readings").alias("readings"))
-    lattices = lattices.withColumn("marks", F.transform("readings", lambda r: F.struct(r["kind"].alias("kind"), (F.size(r["pieces"]) - 1).alias("n"))))
-    lattices = materialise(lattices)
-    chains = lattices.select("field", "raw", F.explode(F.concat("readings", F.array(F.struct(F.lit(SINGLE).alias("kind"), F.array("raw").alias("pieces"))))).alias("r")).select("field", "raw", "r.*")
-    singles = chains.select("field", "raw", "kind", F.posexplode("pieces").alias("start", "p")).select("field", "raw", "kind", "start", F.lit(1).alias("len"), value(F.col("p")).alias("item"))
-    spans = singles.unionByName(_joins(chains, certain)).withColumn("own", F.lit(0.0))
-
-    def weighed(spans: DataFrame, freq: DataFrame, inside: DataFrame) -> DataFrame:
-        # what a lattice itself has added says nothing about it
-        elsewhere = F.greatest(F.coalesce("f", F.lit(0.0)) - F.col("own"), F.lit(0.0))
-        unseen = F.exp(-_CHAR * F.length("item") - _END)
-        weight = F.when(F.col("item") == "", 0.0).otherwise(F.log((1 - _UNSEEN) * elsewhere / (F.coalesce("total", F.lit(0.0)) + 1) + _UNSEEN * unseen + 1e-300))
-        rated = spans.join(freq, ["field", "item"], "left").join(F.broadcast(totals), "field", "left").join(F.broadcast(inside), "field")
-        # a joined value holds the mark of its own reading
-        rated = rated.select("field", "raw", F.struct("kind", "start", "len", "item", (weight + F.when(F.col("len") > 1, (F.col("len") - 1) * F.log(F.get("rho", F.col("kind")))).otherwise(0.0)).alias("weight")).alias("s"))
-        rows = rated.groupBy("field", "raw").agg(F.collect_list("s").alias("spans")).join(lattices.select("field", "raw", "n", "marks"), ["field", "raw"]).join(F.broadcast(inside), "field")
-        # a reading leaves the marks of the kinds before its own within values
-        left = lambda k: F.aggregate(F.filter("marks", lambda m: m["kind"] < k), F.lit(0.0), lambda t, m: t + m["n"] * F.log(F.get("rho", m["kind"])))
-        own = lambda k: F.aggregate(F.filter("marks", lambda m: m["kind"] == k), F.lit(0.0), lambda t, m: t + m["n"] * F.log(1 - F.get("rho", m["kind"])))
-        scores = F.transform(F.array_distinct(F.col("spans.kind")), lambda k: F.struct(k.alias("kind"), (left(k) + own(k)).alias("score")))
-        rows = materialise(rows.select("field", "raw", "n", "marks", "spans", scores.alias("scores")))  # two branches read it
-        plain = ~F.exists("spans", lambda s: s["len"] > 1)
-        return rows.filter(plain).withColumn("w", _weigh_plain(F.col("spans"), F.col("scores"))).unionByName(rows.filter(~plain).withColumn("w", _weigh_joined("spans", "scores")))
-
-    start = F.array(*[F.lit(INSIDE)] * len(MARKS))
-    freq, inside = certain.withColumnRenamed("n", "f"), lattices.select("field").distinct().withColumn("rho", start)
+    sure = fields.select("field", F.explode(F.coalesce("pieces", F.filter(F.flatten(F.col("readings.pieces")), quoted))).alias("p")).groupBy("field", "p").agg(F.count("*").alias("n"))
+    certain = materialise(sure.select("field", value(F.col("p")).alias("item"), "n").filter("item <> ''").groupBy("field", "item").agg(F.sum("n").cast("double").alias("c")))
+    totals = materialise(certain.groupBy("field").agg((F.sum("c") + 1).alias("total")))  # a row per field
+    lattices = _keyed(fields.filter("readings IS NOT NULL").select("field", "raw", "readings")).groupBy(*_KEY).agg(F.count("*").alias("n"), F.any_value("raw").alias("raw"), F.any_value("readings").alias("readings"))
+    lattices = materialise(lattices.withColumn("marks", F.transform("readings", lambda r: F.struct(r["kind"].alias("kind"), (F.size(r["pieces"]) - 1).alias("n")))))
+    chains = lattices.select(*_KEY, F.explode(F.concat("readings", F.array(F.struct(F.lit(SINGLE).alias("kind"), F.array("raw").alias("pieces"))))).alias("r"), "n", "marks").select(*_KEY, "r.*", "n", "marks")
+    singles = chains.select(*_KEY, "kind", F.posexplode("pieces").alias("start", "p"), "n", "marks")
+    # what concerns the whole lattice goes with the span of the single value only
+    once = lambda c: F.when(F.col("kind") == SINGLE, F.col(c)).alias(c)
+    singles = singles.select(*_KEY, "kind", "start", F.lit(1).alias("len"), value(F.col("p")).alias("item"), once("n"), once("marks"))
+    joins = materialise(_joins(chains, certain))
+    plain = not joins.head(1)
+    spans = singles if plain else singles.unionByName(joins, allowMissingColumns=True)
+    spans = spans.join(certain, ["field", "item"], "left").join(F.broadcast(totals), "field", "left").withColumns({"c": F.coalesce("c", F.lit(0.0)), "total": F.coalesce("total", F.lit(1.0))})
+    inside = lattices.select("field").distinct().withColumn("rho", F.array(*[F.lit(INSIDE)] * len(MARKS)))
+    scored = _scored(spans.withColumn("f", F.col("c")), inside, plain)
     for _ in range(EM_ROUNDS):
-        rows = weighed(spans, freq, inside)
-        spans = materialise(rows.select("field", "raw", "n", F.explode(F.arrays_zip("spans", "w.post")).alias("e")).select("field", "raw", "e.spans.kind", "e.spans.start", "e.spans.len", "e.spans.item", (F.col("n") * F.col("e.post")).alias("own")))
-        gained = spans.filter("own > 1e-6").groupBy("field", "item").agg(F.sum("own").alias("f"))
-        freq = materialise(certain.withColumnRenamed("n", "f").unionByName(gained).groupBy("field", "item").agg(F.sum("f").alias("f")))
+        rows = materialise(scored.select(*_KEY, "n", "marks", "spans", "w.post", "w.share"))
         within = F.transform("marks", lambda m: F.struct(
             m["kind"].alias("kind"), m["n"].alias("n"),
-            F.aggregate(F.filter("w.share", lambda c: c["kind"] > m["kind"]), F.lit(0.0), lambda t, c: t + c["p"]).alias("p"), F.aggregate(F.filter("w.share", lambda c: c["kind"] >= m["kind"]), F.lit(0.0), lambda t, c: t + c["p"]).alias("q"),
+            F.aggregate(F.filter("share", lambda c: c["kind"] > m["kind"]), F.lit(0.0), lambda t, c: t + c["p"]).alias("p"), F.aggregate(F.filter("share", lambda c: c["kind"] >= m["kind"]), F.lit(0.0), lambda t, c: t + c["p"]).alias("q"),
         ))
         seen = rows.select("field", "n", F.explode(within).alias("m")).groupBy("field", "m.kind").agg(F.sum(F.col("n") * F.col("m.n") * F.col("m.p")).alias("inside"), F.sum(F.col("n") * F.col("m.n") * F.col("m.q")).alias("all"))
         rho = seen.select("field", F.struct("kind", ((F.col("inside") + INSIDE * BELIEF) / (F.col("all") + BELIEF)).alias("rho")).alias("r")).groupBy("field").agg(F.map_from_entries(F.collect_list("r")).alias("by_kind"))
         inside = materialise(rho.select("field", F.array(*[F.coalesce(F.try_element_at("by_kind", F.lit(k)), F.lit(INSIDE)) for k in range(len(MARKS))]).alias("rho")))
-    return materialise(weighed(spans, freq, inside).select("field", "raw", "w.kind", "w.path"))
+        # what a lattice itself adds to a value says nothing about it
+        spans = rows.select(*_KEY, "n", "marks", F.explode(F.arrays_zip("spans", "post")).alias("e")).select(*_KEY, "e.spans.*", (F.col("n") * F.col("e.post")).alias("own"), "n", "marks")
+        spans = spans.select(*_KEY, "kind", "start", "len", "item", "c", "own", once("n"), once("marks"))
+        gained = spans.filter("own > 1e-6").groupBy("field", "item").agg(F.sum("own").alias("gain"))
+        spans = spans.join(gained, ["field", "item"], "left").join(F.broadcast(totals), "field", "left").withColumns({"f": F.col("c") + F.greatest(F.coalesce("gain", F.lit(0.0)) - F.col("own"), F.lit(0.0)), "total": F.coalesce("total", F.lit(1.0))})
+        scored = _scored(spans, inside, plain)
+    return materialise(scored.select(*_KEY, "w.kind", "w.path"))
 
 
 def packed_arrays(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
@@ -248,7 +266,7 @@ def packed_arrays(df: DataFrame, id_col: str, fields: dict[str, Column], joined:
     parsed = materialise(read_fields(df, id_col, fields, joined))
     mark = F.element_at(F.array(*[F.lit({",，": ", "}.get(m, m[0])) for m in MARKS]), F.col("kind") + 1)
     certain = parsed.filter("readings IS NULL").select("id", "field", "pieces")
-    read = parsed.filter("readings IS NOT NULL").select("id", "field", "raw", "readings").join(segment(parsed), ["field", "raw"])
+    read = _keyed(parsed.filter("readings IS NOT NULL").select("id", "field", "raw", "readings")).join(segment(parsed), list(_KEY))
     own = F.coalesce(F.get(F.filter("readings", lambda r: r["kind"] == F.col("kind")), F.lit(0))["pieces"], F.array("raw"))
     together = F.transform("path", lambda s: F.call_function("array_join", F.slice("own", s["start"] + 1, s["len"]), F.col("mark")))
     chosen = read.withColumn("own", own).withColumn("mark", F.when(F.col("kind") < SINGLE, mark)).select("id", "field", F.when(F.col("path").isNotNull() & (F.col("kind") < SINGLE), together).otherwise(F.col("own")).alias("pieces"))
