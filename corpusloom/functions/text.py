@@ -244,3 +244,15 @@ def citation(title: Column, authors: Column, source: Column, year: Column) -> Co
     """A reference in the order authors, title, source, year; missing parts are left out."""
     parts = [F.array_join(F.slice(authors, 1, 3), ", "), title, source, year]
     return F.concat(F.array_join(F.filter(F.array(*[trim(empty_if_null(p)) for p in parts]), lambda p: p != ""), ". "), F.lit("."))
+
+
+def node_text(node: Column, name: Column, description: Column) -> Column:
+    """A node's text for retrieval: name and description, or its id where it has neither."""
+    text = trim(F.concat(trim(empty_if_null(name)), F.lit(" "), trim(empty_if_null(description))))
+    return F.when(text == "", F.concat(F.lit("[Node: "), node, F.lit("]"))).otherwise(text)
+
+
+def indexed_text(name: Column, description: Column) -> Column:
+    """A node's text for the index: name and description, ``none`` for a missing one."""
+    part = lambda c: F.coalesce(F.nullif(trim(empty_if_null(c)), F.lit("")), F.lit("none"))
+    return F.concat_ws(",", part(name), part(description))

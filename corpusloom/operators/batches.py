@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import row_numbers
+
 _SCHEMA = "cluster string, unit string, size bigint, batch string"
+#: Units that are packed by one task; the next unit starts a new batch.
+STRETCH = 4096
 
 
 def pack_in_order(sizes: list[int], max_units: int, max_size: int) -> list[int]:
@@ -22,25 +24,16 @@ def pack_in_order(sizes: list[int], max_units: int, max_size: int) -> list[int]:
     return out
 
 
-def pack_batches(units: DataFrame, max_units: int = 12, max_size: int = 24_000, tasks: int | None = None) -> DataFrame:
+def pack_batches(units: DataFrame, max_units: int = 12, max_size: int = 24_000, stretch: int = STRETCH) -> DataFrame:
     """``(cluster, unit, size, batch)``: units of each cluster in order of their name.
 
-    Rows are put into ranges of (cluster, unit) and packed as they stream by, so a
-    large cluster is packed by several tasks; each range closes its last batch."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, batch, n, used = None, 0, 0, 0
-        for frame in frames:
-            names = []
-            for cluster, size, part in zip(frame["cluster"], frame["size"], frame["part"]):
-                if cluster != at:
-                    at, batch, n, used = cluster, 0, 0, 0
-                elif n >= max_units or used + size > max_size:
-                    batch, n, used = batch + 1, 0, 0
-                n, used = n + 1, used + size
-                names.append(f"{part}-{batch}")
-            yield frame.assign(batch=names)[["cluster", "unit", "size", "batch"]]
-
-    rows = units.select("cluster", "unit", "size")
-    ranged = rows.repartitionByRange(tasks, "cluster", "unit") if tasks else rows.repartitionByRange("cluster", "unit")
-    return ranged.sortWithinPartitions("cluster", "unit").withColumn("part", F.spark_partition_id()).mapInPandas(pack, _SCHEMA)
+    A cluster is cut into stretches of ``stretch`` units, which are packed one by one, so
+    a large cluster is packed by several tasks and the result does not depend on them."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("rn")
+        names = [f"{frame['stretch'].iloc[0]}-{n}" for n in pack_in_order(frame["size"].tolist(), max_units, max_size)]
+        return frame.assign(batch=names)[["cluster", "unit", "size", "batch"]]
+
+    numbered = row_numbers(units.select("cluster", "unit", F.coalesce("size", F.lit(0)).alias("size")), ["cluster"], ["unit", "size"])
+    return numbered.withColumn("stretch", F.floor((F.col("rn") - 1) / stretch)).groupBy("cluster", "stretch").applyInPandas(pack, _SCHEMA)

@@ -55,6 +55,7 @@ def named(contexts: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     else:
         proposed = F.lit(None).cast("string")
     rows = rows.withColumn("name", F.coalesce(proposed, T.fallback_community_name(F.col("concepts"), F.col("titles"))))
+    # The four sentences that describe a community.
     head, papers = F.array_join(F.slice("concepts", 1, 3), ", "), F.array_join(F.slice("titles", 1, 2), ", ")
     description = (
         F.when((F.size("concepts") > 0) & (F.size("titles") > 0), F.concat(F.lit("该社区围绕"), head, F.lit("等主题展开，代表论文包括"), papers, F.lit("。")))

@@ -13,11 +13,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(0.0)
 
 
-def set_comparison(gold: DataFrame, candidate: DataFrame, sample: str, keys: list[str]) -> DataFrame:
-    """``(sample, tp, fp, fn)`` of distinct facts; one grouped pass instead of a full join."""
+def set_comparison(gold: DataFrame, candidate: DataFrame, sample: str, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """``(sample, tp, fp, fn)`` of distinct facts, per value of ``by`` too; one grouped pass instead of a full join."""
     tagged = gold.select(sample, *keys).withColumn("g", F.lit(1)).withColumn("c", F.lit(0)).unionByName(candidate.select(sample, *keys).withColumn("g", F.lit(0)).withColumn("c", F.lit(1)))
     facts = tagged.groupBy(sample, *keys).agg(F.max("g").alias("g"), F.max("c").alias("c"))
-    return facts.groupBy(sample).agg(F.count_if(F.expr("g = 1 AND c = 1")).alias("tp"), F.count_if(F.expr("g = 0 AND c = 1")).alias("fp"), F.count_if(F.expr("g = 1 AND c = 0")).alias("fn"))
+    return facts.groupBy(sample, *(by or [])).agg(F.count_if(F.expr("g = 1 AND c = 1")).alias("tp"), F.count_if(F.expr("g = 0 AND c = 1")).alias("fp"), F.count_if(F.expr("g = 1 AND c = 0")).alias("fn"))
 
 
 def micro_average(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -55,3 +55,24 @@ def hit_at(hits: DataFrame, relevant: Column, k: int) -> DataFrame:
 def missing_references(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct keys of the left table that the right one lacks."""
     return left.select(key).filter(F.col(key).isNotNull()).distinct().join(right.select(key).distinct(), key, "left_anti")
+
+
+def stratum(kind: Column, relation: Column) -> Column:
+    """Whether a fact follows from the metadata alone: some relations, and attributes with some prefixes."""
+    structured = ((kind == "triple") & relation.isin(*V.STRUCTURED_RELATIONS)) | ((kind == "attribute") & relation.rlike("^(?:" + "|".join(V.STRUCTURED_ATTRIBUTES) + ")"))
+    return F.when(kind == "entity", "all").when(structured, "structured").otherwise("unstructured")
+
+
+def review_scores(reviews: DataFrame, by: list[str]) -> DataFrame:
+    """Reviewed, accepted, rejected and pending rows of ``verdict``, and the share accepted; null where none is reviewed."""
+    verdict = F.lower(T.trim(T.empty_if_null(F.col("verdict"))))
+    counts = reviews.groupBy(*by).agg(F.count_if(verdict == "accepted").alias("accepted"), F.count_if(verdict == "rejected").alias("rejected"), F.count("*").alias("n"))
+    reviewed = F.col("accepted") + F.col("rejected")
+    return counts.select(*by, reviewed.alias("reviewed"), "accepted", "rejected", (F.col("accepted") / F.nullif(reviewed, F.lit(0))).alias("precision"), (F.col("n") - reviewed).alias("pending"))
+
+
+def gold_hits(gold: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
+    """Of the gold facts ``(query_id, fact)``: how many there are, and how many stand among the first ``k`` of ``(query_id, fact, rank)``."""
+    found = retrieved.filter(F.col("rank") <= k).select("query_id", "fact").distinct().withColumn("hit", F.lit(1))
+    rows = gold.select("query_id", "fact").distinct().join(found, ["query_id", "fact"], "left")
+    return rows.agg(F.count("*").alias("facts"), F.count("hit").alias("hits"), ratio(F.count("hit"), F.count("*")).alias("rate"))

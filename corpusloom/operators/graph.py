@@ -80,13 +80,15 @@ def one_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """``(node_id, depth)`` reached along out-edges, with the least depth."""
-    links = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct()
-    frontier = seeds.select("node_id").distinct()
+    links = materialise(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct())
+    frontier = materialise(seeds.select("node_id").distinct())
     reached = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
-        frontier = frontier.join(links, "node_id").select(F.col("next").alias("node_id")).distinct()
+        # only nodes that are new go on
+        found = frontier.join(links, "node_id").select(F.col("next").alias("node_id")).distinct()
+        frontier = materialise(found.join(reached.select("node_id"), "node_id", "left_anti"))
         reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return reached.groupBy("node_id").agg(F.min("depth").alias("depth"))
+    return reached
 
 
 def one_hop_each(edges: DataFrame) -> DataFrame:
@@ -317,3 +319,67 @@ def overlap_bridges(papers: DataFrame, least: int = 2, in_one_task: int = 200_00
             new = ends.groupBy("node").agg(F.transform(F.sort_array(F.collect_list("with")), lambda o: F.struct(o.alias("other"), F.lit(weight).alias("weight"))).alias("new"))
             state = materialise(state.join(new, "node", "left").select("node", "keys", F.when(F.col("new").isNotNull(), F.concat("links", "new")).otherwise(F.col("links")).alias("links")))
     return state.select(F.col("node").alias("a"), F.explode("links").alias("l")).select("a", F.col("l.other").alias("b"), F.col("l.weight").cast("bigint").alias("weight")).filter("a < b")
+
+
+def attribute_edges(docs: DataFrame) -> DataFrame:
+    """``(src, relation, dst, confidence, doc_uid, pos)``: the keywords and the year of ``(doc_uid, pos, title, keywords, year)`` as attributes of the paper."""
+    rows = docs.filter(T.trim(T.empty_if_null(F.col("title"))) != "")
+    keywords = F.transform(F.array_distinct(T.split_keywords(F.col("keywords"))), lambda k: F.concat(F.lit("关键词: "), k))
+    year = T.trim(T.empty_if_null(F.col("year")))
+    values = F.concat(keywords, F.when(year != "", F.array(F.concat(F.lit("年份: "), year))).otherwise(F.array().cast("array<string>")))
+    edges = rows.select("doc_uid", "pos", F.explode(values).alias("value"))
+    return edges.select(_edge(node_id("paper", F.col("doc_uid")), "has_attribute", node_id("attribute", F.col("value")), 0.95).alias("e"), "doc_uid", "pos").select("e.*", "doc_uid", "pos")
+
+
+def name_of(node: Column) -> Column:
+    return F.regexp_replace(node, "^[a-z]+::", "")
+
+
+def reached_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """The edges that leave the reached nodes, once each."""
+    return edges.select("src", "relation", "dst").distinct().join(reached.select(F.col("node_id").alias("src")), "src", "left_semi")
+
+
+def neighbourhood_texts(edges: DataFrame, per_node: int = 8, max_chars: int = 360) -> DataFrame:
+    """``(node_id, text)``: a node's first out-edges as ``name relation neighbour``, in order of their text, cut to ``max_chars``; a node without any has its name."""
+    text = F.concat_ws(" ", name_of(F.col("src")), "relation", name_of(F.col("dst")))
+    facts = edges.select(F.col("src").alias("node_id"), text.alias("fact")).distinct()
+    first = facts.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("fact"))).filter(F.col("r") <= per_node)
+    joined = first.groupBy("node_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "fact"))), lambda s: s["fact"]), " ").alias("text"))
+    cut = F.rtrim(F.left(T.collapse_spaces(F.coalesce("text", name_of(F.col("node_id")))), F.lit(max_chars)))
+    return nodes_of(edges).select("node_id").join(joined, "node_id", "left").select("node_id", cut.alias("text"))
+
+
+def without_orphans(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges whose ends are both among ``nodes (node_id)``, and the nodes that have such an edge."""
+    kept = edges.join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    ends = kept.select(F.col("src").alias("node_id")).union(kept.select("dst")).distinct()
+    return nodes.join(ends, "node_id", "left_semi"), kept
+
+
+def first_types(mentions: DataFrame) -> DataFrame:
+    """``(name, type, priority)`` of ``(name, type, priority, pos)``: a name has the type of its mention of least priority number, first seen."""
+    best = F.min_by(F.struct("type", "priority"), F.struct("priority", "pos", "type"))
+    return mentions.filter(T.trim(T.empty_if_null(F.col("name"))) != "").groupBy("name").agg(best.alias("b")).select("name", "b.*")
+
+
+# Typed triples that stand the wrong way round.
+REVERSED = (("研究方法", "采用", "论文"), ("研究主题", "提出", "论文"), ("研究主题", "聚焦", "论文"), ("机构", "隶属", "作者"), ("论文", "撰写", "作者"), ("期刊", "发表于", "论文"))
+
+
+def refine_triples(triples: DataFrame, types: DataFrame) -> DataFrame:
+    """``(sample, head, relation, tail, swapped)``: triples of ``(sample, head, relation, tail)`` whose ends both have a type in
+    ``(sample, name, type)``, those that stand the wrong way round turned."""
+    typed = triples
+    for end in ("head", "tail"):
+        typed = typed.join(types.select("sample", F.col("name").alias(end), F.col("type").alias(f"{end}_type")), ["sample", end])
+    wrong = F.struct(F.col("head_type"), F.col("relation"), F.col("tail_type")).isin(*[F.struct(*map(F.lit, rule)) for rule in REVERSED])
+    return typed.select("sample", F.when(wrong, F.col("tail")).otherwise(F.col("head")).alias("head"), "relation", F.when(wrong, F.col("head")).otherwise(F.col("tail")).alias("tail"), wrong.alias("swapped"))
+
+
+def component_scores(edges: DataFrame) -> DataFrame:
+    """``(component, nodes, links, score)``: a hundred for every link and ten for every node that is no entity (attributes)."""
+    members = materialise(components(edges))
+    nodes = members.groupBy("component").agg(F.count("*").alias("nodes"), F.count_if(F.col("node_id").startswith("attribute::")).alias("others"))
+    links = edges.select("src", "relation", "dst").distinct().join(members.withColumnRenamed("node_id", "src"), "src").groupBy("component").agg(F.count("*").alias("links"))
+    return nodes.join(links, "component").select("component", "nodes", "links", (100 * F.col("links") + 10 * F.col("others")).alias("score"))

@@ -94,3 +94,72 @@ def named_in(questions: DataFrame, names: DataFrame, gram: int = 4) -> DataFrame
     grams = asked.select("question_id", "q", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - (gram - 1)), lambda i: F.col("q").substr(i, F.lit(gram))))).alias("g"))
     wanted = names.select("node_id", T.exact_match_text(F.col("name")).alias("n")).filter(F.length("n") >= gram).withColumn("g", F.col("n").substr(1, gram))
     return grams.join(wanted, "g").filter(F.col("q").contains(F.col("n"))).select("question_id", "node_id").distinct()
+
+
+# Relations that are worth more in a rerank, and what they add; the weights of index score and similarity of chunks.
+BONUS_RELATIONS, BONUS, LEAST_SCORE = ("is", "was", "has", "had", "contains", "located", "born", "died"), 0.1, 0.15
+CHUNK_WEIGHTS = (0.35, 0.65)
+
+
+def rerank_triples(triples: DataFrame) -> DataFrame:
+    """Adds ``final`` and ``rank``: similarity with a bonus for some relations; weak triples go."""
+    final = F.greatest(F.coalesce("score", F.lit(0.0)) + F.when(F.lower("relation").isin(*BONUS_RELATIONS), BONUS).otherwise(0.0), F.lit(0.0))
+    order = Window.partitionBy("question_id").orderBy(F.desc("final"), "head", "relation", "tail")
+    return triples.withColumn("final", final).filter(F.col("final") > LEAST_SCORE).withColumn("rank", F.row_number().over(order))
+
+
+def rerank_chunks(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``(query_id, id, score, cosine)`` by the weighted sum of index score and similarity."""
+    combined = CHUNK_WEIGHTS[0] * F.col("score") + CHUNK_WEIGHTS[1] * F.greatest(F.col("cosine"), F.lit(0.0))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("combined", 9)), "id")
+    return hits.withColumn("combined", combined).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def relevant(hits: DataFrame, candidates: DataFrame, k: int, threshold: float, most: int = 50) -> DataFrame:
+    """Ranked ``hits (query_id, id, score, rank)`` that are ``candidates (query_id, id)``, have the ``threshold`` and stand among the
+    first ``min(2 * candidates, most)`` of all; the best ``k`` with their new rank."""
+    sizes = candidates.groupBy("query_id").agg(F.count("*").alias("n"))
+    kept = hits.join(candidates, ["query_id", "id"], "left_semi").join(sizes, "query_id").filter((F.col("rank") <= F.least(2 * F.col("n"), F.lit(most))) & (F.col("score") >= threshold))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return kept.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= k).select("query_id", "id", "score", F.col("new_rank").alias("rank"))
+
+
+def with_fallback(filtered: DataFrame, unfiltered: DataFrame, k: int, least: int) -> DataFrame:
+    """The ``k`` best per query of ``filtered (query_id, id, score)``; queries with fewer than ``least`` also take ``unfiltered``, a hit counts once."""
+    counts = filtered.groupBy("query_id").agg(F.count("*").alias("n"))
+    thin = unfiltered.select("query_id").distinct().join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < least).select("query_id")
+    both = filtered.withColumn("typed", F.lit(1)).unionByName(unfiltered.join(thin, "query_id", "left_semi").withColumn("typed", F.lit(0)))
+    best = both.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("typed").alias("typed"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def entities_first(candidates: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``(question_id, node_id, score, is_entity)``, entities before all others."""
+    order = Window.partitionBy("question_id").orderBy(F.desc("is_entity"), F.desc("score"), "node_id")
+    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def expand(edges: DataFrame, top: DataFrame, similar: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """``(question_id, src, relation, dst)``: edges between the top nodes ``(question_id, node_id)`` and their out-neighbours, in both directions.
+
+    A neighbour of known similarity ``(question_id, node_id, sim)`` needs the threshold, unless it is a community."""
+    links = edges.select("src", "relation", "dst").distinct()
+    pairs = top.select("question_id", F.col("node_id").alias("src")).join(links.select("src", "dst").distinct(), "src")
+    known = pairs.join(similar.select("question_id", F.col("node_id").alias("dst"), "sim"), ["question_id", "dst"], "left")
+    kept = known.filter(F.col("sim").isNull() | (F.col("sim") >= threshold) | F.col("dst").startswith("community::")).select("question_id", "src", "dst")
+    both = kept.unionByName(kept.select("question_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return both.join(links, ["src", "dst"]).select("question_id", "src", "relation", "dst")
+
+
+def ordered_union(parts: DataFrame, group: str, item: str) -> DataFrame:
+    """Items of ``(group, source, pos, item)`` in order of source and position, each at its first place: ``(group, item, rank)``."""
+    first = parts.groupBy(group, item).agg(F.min(F.struct("source", "pos")).alias("at"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("at", item))).select(group, item, "rank")
+
+
+def distinct_triples(triples: DataFrame) -> DataFrame:
+    """Per question the first of the triples that differ in case and outer spaces only."""
+    key = [F.lower(T.trim(T.empty_if_null(F.col(c)))).alias(f"{c}_key") for c in ("head", "relation", "tail")]
+    rows = triples.select("question_id", *key, F.struct("pred_no", "pos").alias("at"))
+    return rows.groupBy("question_id", "head_key", "relation_key", "tail_key").agg(F.min("at").alias("at"), F.count("*").alias("n")).select("question_id", "head_key", "relation_key", "tail_key", "at.pred_no", "at.pos", "n")

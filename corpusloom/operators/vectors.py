@@ -35,7 +35,8 @@ def _blocks(vectors: DataFrame, prefix: str, block: int) -> DataFrame:
     """Vectors gathered by hash into blocks of about ``block`` rows."""
     n = max(1, -(-vectors.count() // block))
     rows = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return rows.groupBy("b").agg(F.collect_list(F.struct("id", "label", "vec")).alias(f"{prefix}_rows")).drop("b")
+    tasks = min(n, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "b").groupBy("b").agg(F.collect_list(F.struct("id", "label", "vec")).alias(f"{prefix}_rows")).drop("b")
 
 
 _HITS = "query_id bigint, id bigint, score double"
@@ -72,11 +73,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = Fal
 
     Queries and vectors ``(id, label, vec)`` are put into blocks; every pair of blocks
     is one matrix product in a task, which keeps the best ``k`` of each query, and the
-    blocks' bests are merged.  Null vectors take part in nothing."""
+    blocks' bests are merged.  The pairs of blocks are streamed, not shuffled.  Null vectors take part in nothing."""
     present = F.col("vec").isNotNull()
     pairs = _blocks(queries.filter(present), "q", block).crossJoin(_blocks(vectors.filter(present), "r", block))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.repartition(F.rand(1)).mapInArrow(_multiply(k, same_label), _HITS).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return pairs.mapInArrow(_multiply(k, same_label), _HITS).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def adaptive_candidates(hits: DataFrame, k: int, strict: float = 0.25, relaxed: float = 0.1) -> DataFrame:
@@ -117,8 +118,9 @@ def cluster_count(n: int) -> int:
     return 1 if n <= 2 else max(1, min(max(2, n // 10), n // 2, 200))
 
 
-def k_means(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Adds ``cluster``; Spark's k-means in parallel initialisation."""
-    features = vectors.withColumn("features", array_to_vector(F.transform("vec", lambda x: x.cast("double"))))
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(features)
+def k_means(vectors: DataFrame, k: int, seed: int = 42, starts: int = 5) -> DataFrame:
+    """Adds ``cluster``; Spark's k-means in parallel initialisation, the cheapest of ``starts`` runs."""
+    features = materialise(vectors.withColumn("doubles", F.transform("vec", lambda x: x.cast("double")))).withColumn("features", array_to_vector("doubles")).drop("doubles")
+    models = [KMeans(k=k, seed=seed + i, maxIter=20).fit(features) for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(features).withColumnRenamed("prediction", "cluster").drop("features")

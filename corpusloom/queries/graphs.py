@@ -25,9 +25,9 @@ def unique_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(graph.deduplicate(graph_edges(spark, sf_dir)))
 
 
-def author_seeds(edges: DataFrame) -> DataFrame:
-    """Authors whose name starts with a Latin letter up to F: a fixed part of the nodes."""
-    return edges.filter(F.col("src").rlike("^author::[A-F]")).select(F.col("src").alias("node_id")).distinct()
+def seed_nodes(edges: DataFrame) -> DataFrame:
+    """The papers and authors of every record whose number is divisible by ``SEED_SHARE``."""
+    return edges.filter(F.col("pos") % SEED_SHARE == 0).select(F.col("src").alias("node_id")).distinct()
 
 
 def metadata_edges(spark, sf_dir):
@@ -48,18 +48,18 @@ def degree(spark, sf_dir):
 
 def one_hop(spark, sf_dir):
     edges = unique_edges(spark, sf_dir)
-    return graph.one_hop(edges, author_seeds(edges))
+    return graph.one_hop(edges, seed_nodes(edges))
 
 
 def khop3(spark, sf_dir):
-    edges = unique_edges(spark, sf_dir).select("src", "relation", "dst")
-    return graph.k_hop(edges, author_seeds(edges), 3)
+    edges = unique_edges(spark, sf_dir)
+    return graph.k_hop(edges, seed_nodes(edges), 3)
 
 
 def paths_depth2(spark, sf_dir):
-    edges = unique_edges(spark, sf_dir).select("src", "relation", "dst")
+    edges = unique_edges(spark, sf_dir)
     journals = edges.filter("relation = '发表于'").select(F.col("dst").alias("node_id")).distinct()
-    return graph.paths_to(edges, author_seeds(edges), journals)
+    return graph.paths_to(edges, seed_nodes(edges), journals)
 
 
 def one_hop_all(spark, sf_dir):
@@ -116,6 +116,12 @@ def named_keywords(spark, sf_dir):
     return retrieval.named_in(read(spark, sf_dir, "demo"), words.select(F.col("name").alias("node_id"), "name"))
 
 
+def exact_titles(spark, sf_dir):
+    """Papers whose whole title a question contains."""
+    titles = corpus_docs(spark, sf_dir).select(F.col("doc_uid").alias("node_id"), F.col("title").alias("name"))
+    return retrieval.named_in(read(spark, sf_dir, "demo"), titles)
+
+
 def fact_units(spark, sf_dir):
     return graph.fact_units(unique_edges(spark, sf_dir))
 
@@ -322,8 +328,9 @@ def _plain_pool(spark, sf_dir):
 def strata_counts(spark, sf_dir):
     """Papers by year, by length bin and by both, in one pass."""
     pool = _plain_pool(spark, sf_dir)
-    pool.createOrReplaceTempView("__pool")
-    return pool.sparkSession.sql("SELECT year, length_bin, count(*) AS n, grouping(year) AS no_year, grouping(length_bin) AS no_bin FROM __pool GROUP BY GROUPING SETS ((year), (length_bin), (year, length_bin))")
+    year, bin_ = F.col("year"), F.col("length_bin")
+    sets = pool.groupingSets([[year], [bin_], [year, bin_]], year, bin_)
+    return sets.agg(F.count("*").alias("n"), F.grouping("year").alias("no_year"), F.grouping("length_bin").alias("no_bin"))
 
 
 def strata_allocation(spark, sf_dir):
@@ -346,7 +353,7 @@ QUERIES = {
     "q_metadata_edges": metadata_edges, "q_positional_affiliation": affiliations, "q_triple_dedup": triple_dedup, "q_degree": degree, "q_one_hop": one_hop, "q_khop3": khop3,
     "q_one_hop_all": one_hop_all, "q_khop3_all": khop3_all, "q_paths_depth2_all": paths_depth2_all,
     "q_paths_depth2": paths_depth2, "q_components": components, "q_graph_export": graph_export, "q_node_identity": node_identity, "q_inverted_index": inverted_index, "q_keyword_nodes": keyword_nodes,
-    "q_exact_title_match": named_keywords, "q_fact_units": fact_units, "q_first_keyword_cluster": first_keyword_clusters, "q_keyword_overlap_bridges": keyword_bridges, "q_unit_batches": unit_batches,
+    "q_named_keywords": named_keywords, "q_exact_title_match": exact_titles, "q_fact_units": fact_units, "q_first_keyword_cluster": first_keyword_clusters, "q_keyword_overlap_bridges": keyword_bridges, "q_unit_batches": unit_batches,
     "q_graph_quality": graph_quality, "q_link_priority": link_priority, "q_shown_links": shown_links,
     "q_vector_topk": vector_topk, "q_vector_topk_filtered": vector_topk_filtered, "q_cosine_threshold_adaptive": adaptive_candidates, "q_centroid_rank": centroid_rank, "q_jaccard": source_overlap,
     "q_kmeans": label_clusters, "q_hit_at_k": hit_at_k,
@@ -357,7 +364,7 @@ QUERIES = {
 }
 
 _E = f"WITH {S.EDGES}"
-_SEEDS = "seeds AS (SELECT DISTINCT src AS node_id FROM dedup WHERE regexp_matches(src, '^author::[A-F]'))"
+_SEEDS = "seeds AS (SELECT DISTINCT src AS node_id FROM dedup WHERE pos % 20 = 0)"
 _NODES = "ends AS (SELECT src AS node_id FROM dedup UNION SELECT dst FROM dedup), nodes AS (SELECT node_id, split_part(node_id, '::', 1) AS kind, regexp_replace(node_id, '^[a-z]+::', '') AS name FROM ends)"
 _DEG = "b AS (SELECT src AS node_id, dst AS other FROM dedup UNION ALL SELECT dst, src FROM dedup), degrees AS (SELECT node_id, count(*) AS degree, count(DISTINCT other) AS neighbours FROM b GROUP BY node_id)"
 _INDEX = "idx AS (SELECT DISTINCT node_id, term FROM (SELECT node_id, unnest(regexp_split_to_array(lower(name), '\\s+')) AS term FROM nodes) WHERE length(term) > 2)"
@@ -405,7 +412,10 @@ ORACLE = {
     "q_inverted_index": f"{_E}, {_NODES}, {_INDEX} SELECT term, count(*) AS nodes FROM idx GROUP BY term",
     "q_keyword_nodes": f"{_E}, {_NODES}, {_INDEX}, k AS (SELECT term, node_id FROM idx QUALIFY row_number() OVER (PARTITION BY term ORDER BY node_id) <= 50), w AS (SELECT question_id, unnest(list_distinct({_Q})) AS term FROM demo) "
     "SELECT question_id, count(*) AS hits, count(DISTINCT node_id) AS nodes FROM w JOIN k USING (term) GROUP BY question_id",
-    "q_exact_title_match": f"WITH {S.DOCS}, k AS (SELECT DISTINCT lower(unnest({_KW})) AS name FROM docs), n AS (SELECT name, trim(regexp_replace(replace(lower(name), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ') AS key FROM k), "
+    "q_exact_title_match": f"WITH {S.DOCS}, n AS (SELECT doc_uid, trim(regexp_replace(replace(lower(title), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ') AS key FROM docs), "
+    "q AS (SELECT question_id, trim(regexp_replace(replace(lower(coalesce(question, '')), 'ς', 'σ'), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' ') AS q FROM demo) "
+    "SELECT DISTINCT question_id, doc_uid AS node_id FROM q JOIN n ON length(key) >= 4 AND contains(q, key)",
+    "q_named_keywords": f"WITH {S.DOCS}, k AS (SELECT DISTINCT lower(unnest({_KW})) AS name FROM docs), n AS (SELECT name, trim(regexp_replace(replace(lower(name), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ') AS key FROM k), "
     "q AS (SELECT question_id, trim(regexp_replace(replace(lower(coalesce(question, '')), 'ς', 'σ'), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' ') AS q FROM demo) "
     "SELECT DISTINCT question_id, name AS node_id FROM q JOIN n ON length(key) >= 4 AND contains(q, key)",
     "q_fact_units": f"{_E}, f AS (SELECT src AS paper, 0 AS dir, src, relation, dst FROM dedup WHERE src LIKE 'paper::%' UNION ALL SELECT dst, 1, src, relation, dst FROM dedup WHERE dst LIKE 'paper::%') "

@@ -16,7 +16,7 @@ from corpusloom.session import materialise, read
 def _members(spark, sf_dir):
     """Papers grouped by their first keyword; their other keywords are concepts, scored by frequency."""
     docs = corpus_docs(spark, sf_dir).select("doc_uid", "title", T.split_keywords(F.col("keywords")).alias("kws")).withColumn("community", F.coalesce(F.lower(F.get("kws", F.lit(0))), F.lit("misc")))
-    concepts = docs.select("community", F.explode(F.slice("kws", 2, 1000)).alias("name")).groupBy("community", "name").agg(F.count("*").cast("double").alias("score")).withColumn("type", F.lit("技术"))
+    concepts = docs.select("community", F.explode(F.slice("kws", F.lit(2), F.greatest(F.size("kws") - 1, F.lit(0)))).alias("name")).groupBy("community", "name").agg(F.count("*").cast("double").alias("score")).withColumn("type", F.lit("技术"))
     papers = docs.filter("title IS NOT NULL AND title <> ''").select("community", F.col("title").alias("name")).distinct().withColumn("score", F.lit(0.0)).withColumn("type", F.lit("论文"))
     return concepts.unionByName(papers)
 

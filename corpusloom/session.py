@@ -25,14 +25,16 @@ def get_session(app: str = "corpusloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of
-    this machine where the session names none (tests and single-machine runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of this
+    machine where the session names none and runs on this machine only; a cluster must name one."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

@@ -62,9 +62,8 @@ def write_results(rows: DataFrame, path: str, mode: str = "errorifexists") -> No
     rows.write.mode(mode).json(f"{path}/json")
 
 
-def markdown_report(title: str, rows: DataFrame, limit: int = 100) -> str:
-    """A table of summary rows as Markdown; summaries have a few rows."""
-    found = rows.limit(limit).collect()
+def markdown_report(title: str, rows: DataFrame) -> str:
+    """A table of all given rows as Markdown, fetched a partition at a time; meant for summaries."""
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
-    lines += ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in row) + " |" for row in found]
+    lines += ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in row) + " |" for row in rows.toLocalIterator()]
     return "\n".join(lines) + "\n"

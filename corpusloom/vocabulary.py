@@ -6,12 +6,6 @@ TYPE_ALIASES = {
     "technique": "技术", "method": "研究方法", "framework": "研究方法", "topic": "研究主题", "theme": "研究主题", "scenario": "教学场景",
     "field": "教育领域", "教学模式": "研究方法", "人才培养模式": "研究方法", "研究理论": "研究主题", "教育理念": "研究主题",
 }
-# Types as they are asked for in retrieval.
-TARGET_TYPE_ALIASES = {
-    "paper": "论文", "author": "作者", "organization": "机构", "institution": "机构", "journal": "期刊", "method": "研究方法",
-    "framework": "研究方法", "topic": "研究主题", "theme": "研究主题", "field": "教育领域", "scenario": "教学场景",
-    "community": "主题社区", "keyword": "关键词", "attribute": "属性",
-}
 GENERIC_NAMES = ("教学模式", "研究理论", "教育理念", "人才培养模式")
 AUTHOR_BLACKLIST = ("编辑部", "本刊", "记者", "评论员", "导读", "选题", "活动", "指南")
 # In this order, the first that occurs anywhere cuts the name.
@@ -36,4 +30,3 @@ ENTITY_ALIASES = {
 }
 LENGTH_BINS = ("<=200", "201-400", "401-800", ">800")
 JUDGE_WEIGHTS = (0.30, 0.20, 0.20, 0.15, 0.15)
-COVERAGE_ORDER = ("论文", "作者", "机构", "期刊", "研究主题", "教学场景", "研究方法", "主题社区")

@@ -178,8 +178,12 @@ def test_batches(spark):
     sizes = [5, 5, 5, 20, 1, 1, 1, 30]
     assert batches.pack_in_order(sizes, 3, 16) == [0, 0, 0, 1, 2, 2, 2, 3]
     frame = spark.createDataFrame([(c, f"u{i}", s) for c in "xy" for i, s in enumerate(sizes)], "cluster string, unit string, size bigint")
-    rows = sorted((r["cluster"], r["unit"], r["batch"]) for r in batches.pack_batches(frame, 3, 16, tasks=1).collect())
+    rows = sorted((r["cluster"], r["unit"], r["batch"]) for r in batches.pack_batches(frame, 3, 16).collect())
     assert [b for c, _, b in rows if c == "x"] == [b for c, _, b in rows if c == "y"] == [f"0-{b}" for b in (0, 0, 0, 1, 2, 2, 2, 3)]
+    again = sorted((r["cluster"], r["unit"], r["batch"]) for r in batches.pack_batches(frame.repartition(7), 3, 16).collect())
+    assert again == rows
+    cut = {r["batch"] for r in batches.pack_batches(frame, 3, 16, stretch=2).filter("cluster = 'x'").collect()}
+    assert {b.split("-")[0] for b in cut} == {"0", "1", "2", "3"}
     totals = batches.pack_batches(frame, 3, 16).groupBy("cluster", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
     assert all(r["n"] <= 3 and (r["s"] <= 16 or r["n"] == 1) for r in totals)
 
@@ -265,3 +269,57 @@ def test_row_numbers_of_a_hot_group(spark):
     counted = trailing_count(spark.createDataFrame(times, "g string, t bigint, i int"), "g", F.col("t"), 60).collect()
     for r in counted:
         assert r["recent"] == sum(1 for g, t, _ in times if g == r["g"] and r["t"] - 60 < t <= r["t"])
+
+
+def test_bridge_gate_fixture(spark):
+    rows = [("a", "扩展", "b", 0.8, ["a", "b"]), ("a", "扩展", "b", 0.7, ["a", "b"]), ("a", "引用", "b", 0.9, ["a", "b"]), ("a", "扩展", "a", 0.9, ["a", "b"]), ("a", "扩展", "b", 0.9, ["a", "a", ""]), ("a", "扩展", "z", 0.9, ["a", "z"]), ("a", "扩展", "b", 0.9, None)]
+    frame = spark.createDataFrame(rows, "head string, relation string, tail string, confidence double, source_paper_ids array<string>")
+    papers = spark.createDataFrame([("a",), ("b",), ("b",)], "doc_uid string")
+    assert [(r["head"], r["tail"], r["confidence"]) for r in graph.bridge_gate(frame, papers, ("扩展", "对比", "复用")).collect()] == [("a", "b", 0.8)]
+
+
+def test_review_scores(spark):
+    rows = spark.createDataFrame([("x", " Accepted "), ("x", "REJECTED"), ("x", ""), ("y", None)], "t string, verdict string")
+    got = {r["t"]: (r["reviewed"], r["accepted"], r["rejected"], r["precision"], r["pending"]) for r in evaluation.review_scores(rows, ["t"]).collect()}
+    assert got == {"x": (2, 1, 1, 0.5, 1), "y": (0, 0, 0, None, 1)}
+
+
+def test_refined_triples(spark):
+    types = spark.createDataFrame([("s", "P", "论文"), ("s", "A", "作者"), ("s", "M", "研究方法")], "sample string, name string, type string")
+    rows = [("s", "P", "撰写", "A"), ("s", "A", "撰写", "P"), ("s", "M", "采用", "P"), ("s", "M", "采用", "unknown"), ("other", "P", "撰写", "A")]
+    frame = spark.createDataFrame(rows, "sample string, head string, relation string, tail string")
+    got = sorted((r["head"], r["relation"], r["tail"], r["swapped"]) for r in graph.refine_triples(frame, types).collect())
+    assert got == [("A", "撰写", "P", False), ("A", "撰写", "P", True), ("P", "采用", "M", True)]
+
+
+def test_component_scores(spark):
+    edges = spark.createDataFrame([("paper::a", "x", "attribute::k"), ("paper::a", "x", "author::b"), ("paper::c", "x", "author::d"), ("paper::c", "x", "author::d")], "src string, relation string, dst string")
+    got = sorted((r["nodes"], r["links"], r["score"]) for r in graph.component_scores(edges).collect())
+    assert got == [(2, 1, 100), (3, 2, 210)]
+    assert graph.component_scores(edges.limit(0)).count() == 0
+
+
+def test_expansion_and_fallback(spark):
+    edges = spark.createDataFrame([("n", "r", "near"), ("n", "r", "far"), ("n", "r", "community::c"), ("near", "back", "n"), ("n", "r", "unknown")], "src string, relation string, dst string")
+    top = spark.createDataFrame([("q", "n")], "question_id string, node_id string")
+    similar = spark.createDataFrame([("q", "near", 0.5), ("q", "far", 0.1), ("q", "community::c", 0.0)], "question_id string, node_id string, sim double")
+    got = sorted((r["src"], r["dst"]) for r in retrieval.expand(edges, top, similar).collect())
+    assert got == [("n", "community::c"), ("n", "near"), ("n", "unknown"), ("near", "n")]
+    hits = spark.createDataFrame([("q", 1, 0.9), ("q", 2, 0.5)], "query_id string, id int, score double")
+    more = spark.createDataFrame([("q", 2, 0.5), ("q", 3, 0.7), ("p", 4, 0.1)], "query_id string, id int, score double")
+    got = sorted((r["query_id"], r["rank"], r["id"], r["typed"]) for r in retrieval.with_fallback(hits, more, 2, 3).collect())
+    assert got == [("p", 1, 4, 0), ("q", 1, 1, 1), ("q", 2, 3, 0)]
+    assert [r["id"] for r in retrieval.with_fallback(hits, more, 5, 2).filter("query_id = 'q'").collect()] == [1, 2]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from corpusloom.session import shared_dir
+
+    folder = N(isEmpty=lambda: True)
+    context = N(getConf=lambda: N(get=lambda key, default: default), _jsc=N(sc=lambda: N(getCheckpointDir=lambda: folder)), master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(N(sparkContext=context))
