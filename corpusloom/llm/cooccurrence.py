@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.selection import pairs_within
 from corpusloom.session import materialise
 
+#: Items of a basket whose pairs one task lists.
+WIDE = 1000
+
 
 def item_pairs(baskets: DataFrame, items: Column, min_count: int = 1) -> DataFrame:
     """``(item_a, item_b, n_ab, n_a, n_b, n_baskets, lift, pmi)`` of the pairs in at least ``min_count`` baskets."""
@@ -24,14 +28,15 @@ def item_pairs(baskets: DataFrame, items: Column, min_count: int = 1) -> DataFra
     sets = materialise(sets)
     n_baskets = F.lit(sets.count())
     singles = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    pairs = (
-        sets.filter(F.size("items") > 1)
+    narrow = (
+        sets.filter((F.size("items") > 1) & (F.size("items") <= WIDE))
         .select("items", F.posexplode("items").alias("i", "item_a"))
-        .select("item_a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"))
-        .groupBy("item_a", "item_b")
-        .agg(F.count("*").alias("n_ab"))
-        .filter(F.col("n_ab") >= min_count)
+        .select("item_a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("item_b"), F.lit(1).cast("bigint").alias("w"))
     )
+    # the pairs of a wide basket are written by several tasks; equal ones count together
+    wide = sets.filter(F.size("items") > WIDE).groupBy("items").agg(F.count("*").alias("w"))
+    members = wide.select(F.md5(F.concat_ws("\x1f", "items")).alias("basket"), "w", F.size("items").alias("n"), F.explode("items").alias("item"))
+    pairs = narrow.unionByName(pairs_within(members, ["basket", "w"], "item").select("item_a", "item_b", "w")).groupBy("item_a", "item_b").agg(F.sum("w").alias("n_ab")).filter(F.col("n_ab") >= min_count)
     joined = pairs.join(singles.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a").join(
         singles.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b"
     )

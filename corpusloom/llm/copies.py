@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.selection import pairs_within
 from corpusloom.session import materialise
 
 SEPARATOR = "\x1f"
@@ -159,16 +160,14 @@ def copy_classes(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def copies(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """The classes, and ``(tab, class_id, id)`` of the records in classes of two or more."""
+    """The classes, and ``(tab, class_id, id, n)`` of the records in classes of two or more."""
     keys = materialise(keys)
     classes = copy_classes(keys, capacity)
     several = materialise(classes.filter("n > 1"))
-    members = keys.join(several.select("tab", "key", F.col("first_id").alias("class_id")), ["tab", "key"]).select("tab", "class_id", "id")
+    members = keys.join(several.select("tab", "key", F.col("first_id").alias("class_id"), "n"), ["tab", "key"]).select("tab", "class_id", "id", "n")
     return classes, members
 
 
 def copy_pairs(members: DataFrame) -> DataFrame:
     """All pairs within each class, ``id_a < id_b``."""
-    a = members.select("tab", "class_id", F.col("id").alias("id_a"))
-    b = members.select("tab", "class_id", F.col("id").alias("id_b"))
-    return a.join(b, ["tab", "class_id"]).filter("id_a < id_b").select("tab", "id_a", "id_b")
+    return pairs_within(members, ["tab", "class_id"], "id").select("tab", "id_a", "id_b")

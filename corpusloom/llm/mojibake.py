@@ -35,7 +35,8 @@ _SINGLE_BYTE = ("cp1252", "cp1251", "cp437", "cp850", "koi8-r", "mac-roman")
 #: Encodings that were meant besides UTF-8; tried where UTF-8 does not fit, on runs of some length.
 MEANT_LEGACY = ("gbk", "big5", "shift_jis", "euc-kr")
 MIN_LEGACY_RUN = 4
-MAX_LAYERS = 4
+#: Cost per character of a run that looks garbled; words of one script are cheaper.
+MIN_RUN_COST = 0.6
 #: A repair must take away this much and this share of the cost.
 MIN_DROP, MAX_SHARE = 0.6, 0.7
 
@@ -167,7 +168,7 @@ def _decode(raw: bytes, meant: str, lossy: bool) -> str | None:
     return None
 
 
-def _repair_run(run: str, before: str, after: str, lossy: bool = False, depth: int = 0) -> tuple[str, int, float]:
+def _repair_run(run: str, before: str, after: str, lossy: bool = False) -> tuple[str, int, float]:
     """The cheapest strict round trip of one run with its layers and cost, or the run itself.
 
     UTF-8 admits few byte sequences, so a reading as UTF-8 goes before all others."""
@@ -184,12 +185,12 @@ def _repair_run(run: str, before: str, after: str, lossy: bool = False, depth: i
         text = _decode(raw, "utf-8", lossy)
         if text is None or text == run or _LOSS in text:
             continue
-        deeper, more, new = _repair_run(text, before, after, lossy, depth + 1) if depth < MAX_LAYERS - 1 and not text.isascii() else (text, 0, garbling_cost(text, before, after))
+        deeper, more, new = _repair_run(text, before, after, lossy) if not text.isascii() else (text, 0, garbling_cost(text, before, after))
         if new <= best_cost:
             best, layers, best_cost = deeper, more + 1, new
-    if layers == 0 and depth == 0 and len(run) >= MIN_LEGACY_RUN:
+    if layers == 0 and len(run) >= MIN_LEGACY_RUN and cost >= MIN_RUN_COST * len(run):
         best_cost = min(best_cost, cost * 0.4)
-        for wrong in _SINGLE_BYTE[:2]:
+        for wrong in _SINGLE_BYTE:
             if wrong in raws:
                 for meant in MEANT_LEGACY:
                     text = _decode(raws[wrong], meant, lossy) if meant != wrong else None

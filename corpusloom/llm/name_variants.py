@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.selection import pairs_within
+from corpusloom.operators.graph import components
 from corpusloom.session import materialise
 
 #: Least weighted similarity of two readings that are linked.
@@ -323,12 +325,10 @@ def name_variants(names: DataFrame, aliases: DataFrame) -> DataFrame:
     typos = materialise(_given_typos(similar, degrees).unionByName(_typos_under_surname(similar, keys)).distinct())
     alias_table = materialise(given_table.unionByName(_learned_aliases(keys, typos)).distinct())
     links = materialise(_links(keys.drop("script"), similar, alias_table, typos).select("kind", _key("core", "rest", "dept").alias("key"), _key("to_core", "to_rest", "to_dept").alias("to")))
-    # follow the links: a short form of a misspelt name is at most a few steps from its root
-    label = keys.select("kind", _key("core", "rest", "dept").alias("key")).join(links, ["kind", "key"], "left").select("kind", "key", F.coalesce("to", "key").alias("to"))
-    for _ in range(3):
-        label = materialise(label)
-        nexts = label.select("kind", F.col("key").alias("to"), F.col("to").alias("next"))
-        label = label.join(nexts, ["kind", "to"]).select("kind", "key", F.col("next").alias("to"))
+    # chains of links of any length: readings that are connected denote the same
+    node = lambda key: F.concat_ws("\x1e", "kind", key)
+    connected = components(links.select(node("key").alias("src"), node("to").alias("dst"))).withColumnRenamed("node_id", "node")
+    label = keys.select("kind", _key("core", "rest", "dept").alias("key")).withColumn("node", node("key")).join(connected, "node", "left").select("kind", "key", F.coalesce("component", "node").alias("to"))
     label = materialise(label)
     whole = full.select("kind", "name", _key("core", "rest", "dept").alias("key"), "core", "rest", "initials").join(label, ["kind", "key"]).withColumnRenamed("to", "entity")
     whole = materialise(whole)
@@ -360,6 +360,5 @@ def name_variants(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def variant_pairs(entities: DataFrame) -> DataFrame:
     """All pairs of spellings of one entity, ``name_a < name_b``."""
-    a = entities.select("kind", "entity", F.col("name").alias("name_a"))
-    b = entities.select("kind", "entity", F.col("name").alias("name_b"))
-    return a.join(b, ["kind", "entity"]).filter("name_a < name_b").select("kind", "name_a", "name_b")
+    sized = entities.join(entities.groupBy("kind", "entity").agg(F.count("*").alias("n")).filter("n > 1"), ["kind", "entity"])
+    return pairs_within(sized, ["kind", "entity"], "name").select("kind", "name_a", "name_b")

@@ -47,3 +47,17 @@ def smallest_keys(rows: DataFrame, groups: list[str], key: str, tie: str, size:
     order = Window.partitionBy(*groups).orderBy(key, tie).rowsBetween(Window.unboundedPreceding, -1)
     last = rows.filter("NOT __sure").withColumn("__before", F.coalesce(F.sum(size).over(order), F.lit(0))).filter(F.col("__before") + F.col(size) * 0.5 <= F.col("__left"))
     return rows.filter("__sure").select(*columns).unionByName(last.select(*columns))
+
+
+#: Members of a group that one task pairs with all of it.
+STRETCH = 1000
+
+
+def pairs_within(rows: DataFrame, group: list[str], item: str, stretch: int = STRETCH) -> DataFrame:
+    """``(*group, item_a, item_b)``: all pairs ``item_a < item_b`` of each group of ``(*group, item, n)``, ``n`` being its size.
+
+    One side of a large group is cut into stretches and the other goes to each of them, so no task writes all its pairs."""
+    parts = F.ceil(F.col("n") / stretch)
+    a = rows.select(*group, F.col(item).alias(f"{item}_a"), F.pmod(F.xxhash64(item), parts).alias("__part"))
+    b = rows.select(*group, F.col(item).alias(f"{item}_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("__part"))
+    return a.join(b, [*group, "__part"]).filter(F.col(f"{item}_a") < F.col(f"{item}_b")).drop("__part")

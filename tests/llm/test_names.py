@@ -67,3 +67,21 @@ def test_readers():
     assert read_person("Lopez, J. M.")["surname"] == "lopez" and read_person("Lopez, J. M.")["initials"] == ["j", "m"]
     assert read_person("GARCIA Ana")["surname"] == "garcia"
     assert read_organisation("Natl. Academy of X")["kind"] == "academy national"
+
+
+def test_chains_of_links_of_any_length(spark, monkeypatch):
+    """Each reading links to the next one only; all denote the same."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import name_variants as N
+
+    names = [f"Surname{chr(97 + i)}, Given" for i in range(20)]
+
+    def chain(keys, similar, aliases, typos):
+        link = spark.createDataFrame([(f"surname{chr(97 + i)}", f"surname{chr(98 + i)}") for i in range(19)], "core string, to_core string")
+        return keys.join(link, "core").select("kind", "core", "rest", "dept", "to_core", F.col("rest").alias("to_rest"), F.col("dept").alias("to_dept"))
+
+    monkeypatch.setattr(N, "_links", chain)
+    frame = spark.createDataFrame([("author", n, 1) for n in names], "kind string, name string, n bigint")
+    table = spark.createDataFrame([], "short_form string, full_form string")
+    assert len({r["entity"] for r in N.name_variants(frame, table).collect()}) == 1

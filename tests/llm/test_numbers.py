@@ -6,12 +6,13 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.llm import cooccurrence
 from corpusloom.llm.catalog import p5, p6, p8, p9
 from corpusloom.llm.cooccurrence import item_pairs
 from corpusloom.llm.mixing import mix, mix_plan, mix_report
 from corpusloom.llm.packing import pack, pack_sizes, packing_report
 from corpusloom.llm.proportions import controlled_rounding, fractional_quotas, plain_length_bin, plain_year, stratified_sample, stratum_report
-from corpusloom.llm.selection import smallest_keys
+from corpusloom.llm.selection import pairs_within, smallest_keys
 from corpusloom.session import read
 from tests.oracle import assert_same
 
@@ -24,7 +25,7 @@ def test_sql(spark):
             assert_same(spark, name, part.QUERIES[name], sql, SF)
 
 
-def test_pairs_against_brute_force(spark):
+def test_pairs_against_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     baskets = [[rng.choice("abcdef") for _ in range(rng.randrange(6))] for _ in range(120)] + [None, [None, "a"]]
     frame = spark.createDataFrame([(b, 1) for b in baskets], "items array<string>, n int")
@@ -36,6 +37,16 @@ def test_pairs_against_brute_force(spark):
     for (a, b), r in got.items():
         assert math.isclose(r["lift"], pair[a, b] * len(sets) / (single[a] * single[b])) and r["n_baskets"] == len(sets)
     assert item_pairs(frame.limit(0), F.col("items")).count() == 0
+    # wide baskets are paired by several tasks, with the same result
+    monkeypatch.setattr(cooccurrence, "WIDE", 2)
+    assert {(r["item_a"], r["item_b"]): r["n_ab"] for r in item_pairs(frame, F.col("items"), 2).collect()} == {k: r["n_ab"] for k, r in got.items()}
+
+
+def test_pairs_within_large_groups(spark):
+    sizes = {"a": 57, "b": 1, "c": 8}
+    rows = [(g, f"{i:03d}", n) for g, n in sizes.items() for i in range(n)]
+    found = pairs_within(spark.createDataFrame(rows, "g string, item string, n bigint"), ["g"], "item", stretch=5).collect()
+    assert sorted((r["g"], r["item_a"], r["item_b"]) for r in found) == sorted((g, f"{i:03d}", f"{j:03d}") for g, n in sizes.items() for i in range(n) for j in range(i + 1, n))
 
 
 def test_p6_against_brute_force(spark):

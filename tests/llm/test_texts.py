@@ -19,6 +19,10 @@ def test_repair_undoes_every_wrong_decoding():
             if wrong != "gb18030" or " " not in text:  # a run of two letters between spaces is too cheap to stand out
                 assert repair(garbled)[0] == text, (wrong, garbled)
             assert repair(garbled)[1] > 0
+    deep = "naïve café, más señales"
+    for _ in range(6):
+        deep = deep.encode().decode("latin-1")
+    assert repair(deep)[:2] == ("naïve café, más señales", 6)
     twice = "“naïve” café".encode().decode("latin-1").encode().decode("latin-1")
     assert repair(twice)[:2] == ("“naïve” café", 2)
     assert repair("研究".encode("gbk").decode("latin-1") * 3)[0] == "研究" * 3
