@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.selection import pairs_within
+from corpusloom.llm.selection import STRETCH, pairs_within
 from corpusloom.operators.graph import components
 from corpusloom.session import materialise
 
@@ -232,9 +232,13 @@ def _learned_aliases(keys: DataFrame, typos: DataFrame) -> DataFrame:
     Misspelt names are no short forms; a token is short for one name only, the one it shares most surnames with."""
     given = keys.filter("kind = 'author' AND script = 'l'").select("core", F.col("rest").alias("g")).distinct().join(typos.select(F.col("rest").alias("g")).distinct(), "g", "left_anti")
     under = given.groupBy("g").agg(F.count("*").alias("cores")).filter(F.col("cores") >= ALIAS_SUPPORT)
-    frequent = materialise(given.join(under, "g"))
-    pairs = frequent.select("core", F.col("g").alias("short"), F.col("cores").alias("n_short")).join(frequent.select("core", F.col("g").alias("full"), F.col("cores").alias("n_full")), "core")
-    both = pairs.filter("n_full > n_short").groupBy("short", "full", "n_short", "n_full").agg(F.count("*").alias("both"))
+    frequent = given.join(under, "g")
+    # a surname with many given names is compared in stretches, by several tasks
+    sizes = frequent.groupBy("core").agg(F.ceil(F.count("*") / STRETCH).alias("stretches"))
+    frequent = materialise(frequent.join(sizes, "core"))
+    short = frequent.select("core", F.col("g").alias("short"), F.col("cores").alias("n_short"), F.pmod(F.xxhash64("g"), F.col("stretches")).alias("stretch"))
+    full = frequent.select("core", F.col("g").alias("full"), F.col("cores").alias("n_full"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("stretches") - 1)).alias("stretch"))
+    both = short.join(full, ["core", "stretch"]).filter("n_full > n_short").groupBy("short", "full", "n_short", "n_full").agg(F.count("*").alias("both"))
     total = given.select("core").distinct().agg(F.count("*").alias("all_cores"))
     chance = F.col("n_full") / F.col("all_cores")
     deviations = (F.col("both") - F.col("n_short") * chance) / F.sqrt(F.col("n_short") * chance * (1 - chance) + 1e-9)
