@@ -23,6 +23,8 @@ def test_repair_undoes_every_wrong_decoding():
     for _ in range(6):
         deep = deep.encode().decode("latin-1")
     assert repair(deep)[:2] == ("naïve café, más señales", 6)
+    russian = "Как виртуальные лаборатории влияют на качество"
+    assert repair(russian.encode().decode("cp1251"))[:2] == (russian, 1)  # a word of sound letters is not read on
     twice = "“naïve” café".encode().decode("latin-1").encode().decode("latin-1")
     assert repair(twice)[:2] == ("“naïve” café", 2)
     assert repair("研究".encode("gbk").decode("latin-1") * 3)[0] == "研究" * 3
