@@ -256,3 +256,28 @@ def indexed_text(name: Column, description: Column) -> Column:
     """A node's text for the index: name and description, ``none`` for a missing one."""
     part = lambda c: F.coalesce(F.nullif(trim(empty_if_null(c)), F.lit("")), F.lit("none"))
     return F.concat_ws(",", part(name), part(description))
+
+
+def text_list(values: Column) -> Column:
+    """The trimmed, non-empty texts of a list; none for a null."""
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: trim(empty_if_null(v))), lambda v: v != "")
+
+
+def typed_entity(text: Column) -> Column:
+    """``(name, type)`` of an entity rendered as ``name [schema_type: type, ...]``; the type is empty where none is shown."""
+    pattern = r"^\s*(.*?)\s*\[schema_type:\s*([^,\]]*)[^\]]*\]\s*$"
+    shown = text.rlike(pattern)
+    return F.struct(F.when(shown, F.regexp_extract(text, pattern, 1)).otherwise(trim(text)).alias("name"), F.when(shown, trim(F.regexp_extract(text, pattern, 2))).otherwise("").alias("type"))
+
+
+def cited(answer: Column) -> Column:
+    """The numbers that an answer cites as ``[n]``, each once, in order of appearance."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(empty_if_null(answer), F.lit(r"\[(\d+)\]"), F.lit(1))), lambda n: n.cast("int"))
+
+
+def renumbered(answer: Column) -> Column:
+    """The answer with its citations numbered from 1 in order of appearance."""
+    steps = F.transform(cited(answer), lambda n, i: F.struct(n.alias("old"), (i + 1).alias("new")))
+    # marked first, so a new number is not taken for an old one
+    marked = F.aggregate(steps, empty_if_null(answer), lambda text, s: F.replace(text, F.concat(F.lit("["), s["old"].cast("string"), F.lit("]")), F.concat(F.lit("\ue000"), s["new"].cast("string"), F.lit("\ue001"))))
+    return F.translate(marked, "\ue000\ue001", "[]")

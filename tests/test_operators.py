@@ -323,3 +323,12 @@ def test_a_cluster_needs_a_shared_folder():
     context = N(getConf=lambda: N(get=lambda key, default: default), _jsc=N(sc=lambda: N(getCheckpointDir=lambda: folder)), master="spark://host:7077")
     with pytest.raises(ValueError):
         shared_dir(N(sparkContext=context))
+
+
+def test_lists_entities_and_citations(spark):
+    assert value(spark, T.text_list(F.array(F.lit(" a "), F.lit(""), F.lit(None), F.lit("b")))) == ["a", "b"]
+    assert value(spark, T.text_list(F.lit(None).cast("array<string>"))) == []
+    assert tuple(value(spark, T.typed_entity(F.lit("Paper [A] [schema_type: 论文, label: x]")))) == ("Paper [A]", "论文")
+    assert tuple(value(spark, T.typed_entity(F.lit(" plain ")))) == ("plain", "")
+    assert value(spark, T.renumbered(F.lit("x [3] y [1], [3] and [2]"))) == "x [1] y [2], [1] and [3]"
+    assert value(spark, T.cited(F.lit("x [3] y [1], [3]"))) == [3, 1] and value(spark, T.renumbered(F.lit(None).cast("string"))) == ""
