@@ -19,12 +19,9 @@ def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r["pack_id"]: r["capacity_tokens"] for r in read(spark, sf_dir, "pack_config").collect()}
 
 
-def _placed(spark: SparkSession, sf_dir: str, only_large: bool = False) -> DataFrame:
-    capacities = _capacities(spark, sf_dir)
-    sized = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", byt5_tokens(F.col("text")).alias("tokens"))
-    if only_large:
-        sized = sized.filter(F.col("tokens") > min((c for c in capacities.values() if c and c > 0), default=0))
-    return pack(sized, capacities)
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return pack(documents.select("doc_id", byt5_tokens(F.col("text")).alias("tokens")), _capacities(spark, sf_dir))
 
 
 def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +30,8 @@ def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are split; those that fit into the smallest container are left out before packing."""
-    return _placed(spark, sf_dir, only_large=True).filter("n_pieces > 1 AND piece = 1").select("pack_id", "doc_id")
+    """The documents that are split, from the packing of all documents."""
+    return _placed(spark, sf_dir).filter("n_pieces > 1 AND piece = 1").select("pack_id", "doc_id")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

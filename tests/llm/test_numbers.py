@@ -145,6 +145,13 @@ def test_packing(spark):
     assert pack(frame.limit(0), {"a": 100}).count() == 0 and pack(frame, {}).count() == 0
 
 
+def test_p8_found_packs_every_document(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(p8, "pack", lambda sized, capacities: given.append(sized) or pack(sized, capacities))
+    assert p8.p8_found(spark, SF).count() > 0
+    assert [sized.count() for sized in given] == [read(spark, SF, "documents").filter("text IS NOT NULL").count()]
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     docs = [(i, rng.choice(["x", "y", "z"]), rng.randrange(1, 200), rng.choice([None, 1.0, 0.5])) for i in range(600)] + [(900, None, 5, 1.0), (901, "x", None, 1.0)]
