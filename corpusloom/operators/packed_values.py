@@ -28,6 +28,8 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,6 +61,11 @@ def _trim(value: Column) -> Column:
     return F.btrim(value, F.lit(SPACES))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it; written out, it would be computed each time."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _masked(raw: Column, joined: bool) -> Column:
     """The field with its quoted values replaced, so that marks inside them don't count."""
     ends = f"[{_ALL}]|$" + (rf"|\s{JOINERS}\s" if joined else "")
@@ -72,20 +79,27 @@ def _pieces(raw: Column, marks: str) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(marks[0]), raw), F.lit(f"{k}({_WS}{_QUOTED}{_WS}(?={k}|$)|[^{marks}]*+)"), F.lit(1))
 
 
+def _is_quoted(piece: Column) -> Column:
+    return piece.contains('"') & _trim(piece).rlike(f"^{_QUOTED}$")  # most pieces need the first test only
+
+
 def _unquote(piece: Column) -> Column:
     text = _trim(piece)
-    return F.when(text.rlike(f"^{_QUOTED}$"), _trim(F.regexp_replace(text.substr(F.lit(2), F.length(text) - 2), '""', '"'))).otherwise(text)
+    return F.when(_is_quoted(piece), _trim(F.regexp_replace(text.substr(F.lit(2), F.length(text) - 2), '""', '"'))).otherwise(text)
 
 
 def _split_last(pieces: Column) -> Column:
     """Split the last non-empty piece at a joining word; a leading one goes."""
-    kept = F.filter(pieces, lambda p: _trim(p) != "")
-    last = F.element_at(kept, -1)
-    parts = F.when(
-        last.rlike(rf"(?:^|\s){JOINERS}\s"),
-        F.split(F.regexp_replace(last, rf'^\s*{JOINERS}\s+|\s+{JOINERS}\s+(?=(?:[^"]*"[^"]*")*[^"]*$)', "\ue001"), "\ue001"),
-    ).otherwise(F.array(last))
-    return F.when(F.size(kept) > 0, F.concat(F.slice(kept, 1, F.size(kept) - 1), parts)).otherwise(kept)
+
+    def split(kept: Column) -> Column:
+        last = F.element_at(kept, -1)
+        parts = F.when(
+            last.rlike(rf"(?:^|\s){JOINERS}\s"),
+            F.split(F.regexp_replace(last, rf'^\s*{JOINERS}\s+|\s+{JOINERS}\s+(?=(?:[^"]*"[^"]*")*[^"]*$)', "\ue001"), "\ue001"),
+        ).otherwise(F.array(last))
+        return F.when(F.size(kept) > 0, F.concat(F.slice(kept, 1, F.size(kept) - 1), parts)).otherwise(kept)
+
+    return _let(F.filter(pieces, lambda p: _trim(p) != ""), split)
 
 
 def read_fields(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
@@ -165,12 +179,18 @@ def _weigh_joined(spans: pd.Series, scores: pd.Series) -> pd.DataFrame:
 def _weigh_plain(spans: Column, scores: Column) -> Column:
     """The same for readings without joined pieces: the values of each are given, so sums are enough."""
     sums = F.transform(scores, lambda c: F.struct(c["kind"].alias("kind"), F.aggregate(F.filter(spans, lambda s: s["kind"] == c["kind"]), c["score"], lambda t, s: t + s["weight"]).alias("sum")))
-    top = F.array_max(F.transform(sums, lambda c: c["sum"]))
-    total = F.aggregate(sums, F.lit(0.0), lambda t, c: t + F.exp(c["sum"] - top))
-    share = F.transform(sums, lambda c: F.struct(c["kind"].alias("kind"), (F.exp(c["sum"] - top) / total).alias("p")))
-    best = F.array_min(F.transform(F.filter(sums, lambda c: c["sum"] == top), lambda c: c["kind"]))
-    post = F.transform(spans, lambda s: F.filter(share, lambda c: c["kind"] == s["kind"])[0]["p"])
-    return F.struct(post.alias("post"), share.alias("share"), best.alias("kind"), F.lit(None).cast("array<struct<start:int,len:int>>").alias("path"))
+
+    def weighed(sums: Column, top: Column, share: Column) -> Column:
+        best = F.array_min(F.transform(F.filter(sums, lambda c: c["sum"] == top), lambda c: c["kind"]))
+        post = F.transform(spans, lambda s: F.filter(share, lambda c: c["kind"] == s["kind"])[0]["p"])
+        return F.struct(post.alias("post"), share.alias("share"), best.alias("kind"), F.lit(None).cast("array<struct<start:int,len:int>>").alias("path"))
+
+    def shared(sums: Column, top: Column) -> Column:
+        total = F.aggregate(sums, F.lit(0.0), lambda t, c: t + F.exp(c["sum"] - top))
+        share = _let(total, lambda t: F.transform(sums, lambda c: F.struct(c["kind"].alias("kind"), (F.exp(c["sum"] - top) / t).alias("p"))))
+        return _let(share, lambda p: weighed(sums, top, p))
+
+    return _let(sums, lambda v: _let(F.array_max(F.transform(v, lambda c: c["sum"])), lambda top: shared(v, top)))
 
 
 def _joins(chains: DataFrame, certain: DataFrame) -> DataFrame:
@@ -224,9 +244,8 @@ def segment(fields: DataFrame) -> DataFrame:
     """``(field, h1, h2, kind, path)``: the best reading of every field of ``read_fields`` that has readings, by the hashes of its text.
 
     ``path`` tells which of its pieces belong together, null where none do."""
-    quoted = lambda p: _trim(p).rlike(f"^{_QUOTED}$")
     value = lambda p: _canonical_join(_unquote(p))
-    sure = fields.select("field", F.explode(F.coalesce("pieces", F.filter(F.flatten(F.col("readings.pieces")), quoted))).alias("p")).groupBy("field", "p").agg(F.count("*").alias("n"))
+    sure = fields.select("field", F.explode(F.coalesce("pieces", F.filter(F.flatten(F.col("readings.pieces")), _is_quoted))).alias("p")).groupBy("field", "p").agg(F.count("*").alias("n"))
     certain = materialise(sure.select("field", value(F.col("p")).alias("item"), "n").filter("item <> ''").groupBy("field", "item").agg(F.sum("n").cast("double").alias("c")))
     totals = materialise(certain.groupBy("field").agg((F.sum("c") + 1).alias("total")))  # a row per field
     lattices = _keyed(fields.filter("readings IS NOT NULL").select("field", "raw", "readings")).groupBy(*_KEY).agg(F.count("*").alias("n"), F.any_value("raw").alias("raw"), F.any_value("readings").alias("readings"))
@@ -276,6 +295,6 @@ def packed_arrays(df: DataFrame, id_col: str, fields: dict[str, Column], joined:
 def packed_items(df: DataFrame, id_col: str, fields: dict[str, Column], joined: tuple[str, ...] = ("authors",)) -> DataFrame:
     """``(id, field, pos, item, n_items)``: one row per value of every field, ``pos`` from 1."""
     rows = packed_arrays(df, id_col, fields, joined)
-    return rows.select("id", "field", F.size("items").alias("n_items"), F.posexplode("items").alias("p", "item")).select(
-        "id", "field", (F.col("p") + 1).cast("int").alias("pos"), "item", "n_items"
-    )
+    # each value knows their number and the explode is outer, else Spark's filters on the array would compute it again below
+    values = _let(F.col("items"), lambda v: F.transform(v, lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x.alias("item"), F.size(v).alias("n_items"))))
+    return rows.select("id", "field", F.explode_outer(values).alias("v")).filter("v IS NOT NULL").select("id", "field", "v.pos", "v.item", "v.n_items")

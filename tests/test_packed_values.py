@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators.packed_values import packed_items, read_fields, segment
+from corpusloom.operators.packed_values import _split_last, _weigh_plain, packed_items, read_fields, segment
 from corpusloom.session import read
 
 KINDS = ["\n", "\t", "|｜", "、､", ",，", "/／", "　"]
@@ -108,3 +108,13 @@ def test_the_column_decides_between_kinds(spark):
     for r in packed_items(spark.createDataFrame(rows, "k bigint, v string"), "k", {"keywords": F.col("v")}).filter("id >= 100").collect():
         got.setdefault(r["id"], {})[r["pos"]] = r["item"]
     assert got == {100: {1: "Lee, Ann", 2: "Ray, Bo"}, 101: {1: "Poe, Cy"}}
+
+
+def test_costly_columns_are_computed_once(spark):
+    """Written out more than once they are computed each time, which made up over a third of the work."""
+    assert str(_weigh_plain(F.col("spans"), F.col("scores"))).count("scores") == 1
+    assert str(_split_last(F.col("pieces"))).count("pieces") == 1
+    frame = spark.createDataFrame([(1, "a; b"), (2, "c/d"), (3, "e")], "k bigint, v string")
+    rows = packed_items(frame, "k", {"keywords": F.col("v")}).filter("n_items > 1")
+    assert "size(filter(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["pos"], r["item"]) for r in rows.collect()) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (2, 2, "d")]
